@@ -33,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Arrow batches to Python end at either bound, so that a batch of long texts stays small.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once a session, unless PYTHONPATH already has it there."""
+    """Set the session's Arrow batch bounds, and send the package to the executors, once a session, unless PYTHONPATH already has it there."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped or str(PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(":"):
         return
