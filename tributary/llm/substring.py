@@ -181,12 +181,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, work: Workspace, batche
     work.release()
 
     same = work.save(stretches.groupBy("fp", "one", "two").agg(F.min("doc_id").alias("first")), "same")
-    kinds = same.groupBy("fp").agg((F.count("*") > 1).alias("differ"))
-    same = work.save(same.join(kinds, "fp"), "kinds")
+    kinds = work.save(same.groupBy("fp").agg((F.count("*") > 1).alias("differ")), "kinds")
+    same = work.save(same.join(kinds, "fp"), "same_kinds")
     judged = work.save(
         stretches.join(same, ["fp", "one", "two"]).select("fp", "doc_id", "tag", "pos", "len", (F.col("first") < F.col("doc_id")).alias("copy"), F.when((F.col("first") == F.col("doc_id")) & F.col("differ"), F.col("windows")).alias("windows")), "judged"
     )
-    work.drop("stretches", "same", "kinds")
+    work.drop("stretches", "same", "kinds", "same_kinds")
     work.release()
     copies = judged.where("copy").select("doc_id", "tag", "pos", "len")
     single = judged.where("windows IS NOT NULL").select("fp", "doc_id", "tag", F.col("pos").alias("at"), F.posexplode("windows").alias("i", "window"))
