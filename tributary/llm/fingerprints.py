@@ -29,7 +29,7 @@ FRACTION = KEPT_DIGITS / 16
 #: Hexadecimal digits of a hash that the fingerprint shows (64 bits).
 DIGITS = 16
 #: The ordered neighbour search cuts the doc_id range into at most this many buckets, of about ROWS rows.
-MAX_BUCKETS, ROWS = 16384, 1500
+MAX_BUCKETS, ROWS = 16384, 500
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -45,6 +45,17 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, F.transform(some, lambda h: F.substring(h, 1, DIGITS))).drop(words, hashes, kept)
 
 
+def pack(kept: Column) -> Column:
+    """A sketch as bytes, eight for each hash."""
+    return F.unhex(F.array_join(kept, ""))
+
+
+def unpack(packed: Column) -> Column:
+    digits = F.lower(F.hex(packed))
+    places = F.sequence(F.lit(0), F.greatest(F.length(packed) / 8 - 1, F.lit(0)).cast("int"))
+    return F.when(F.length(packed) == 0, F.array().cast("array<string>")).otherwise(F.transform(places, lambda i: F.substring(digits, i * DIGITS + 1, F.lit(DIGITS))))
+
+
 def merge(a: Column, b: Column) -> Column:
     """The sketch of the union of two texts' shingle sets, from their sketches."""
     both = F.array_sort(F.array_union(a, b))
@@ -122,8 +133,9 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, text (null: empty), sketch, and those of the next and of the edited text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(own, "doc_id", ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
-    both = both.withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    packed = lambda df: with_sketch(df, "text", "sketch").withColumn("sketch", pack(F.col("sketch")))  # noqa: E731  half of what is shuffled otherwise
+    both = with_next(own, "doc_id", ["text", "sketch"], packed)
+    both = both.withColumns({c: unpack(F.col(c)) for c in ("sketch", "next_sketch")}).withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     return with_sketch(both, "edited_text", "edited_sketch")
 
 

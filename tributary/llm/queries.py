@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, substring
+from . import fingerprints, sharding, substring, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op8_url_rules": url_rules.op8_url_rules,
+    "op9_sharding": sharding.op9_sharding,
 }
 ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.ORACLE,
