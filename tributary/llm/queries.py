@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding, substring, url_rules
+from . import decontamination, fingerprints, language, sharding, substring, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op4_language_id": language.op4_language_id,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.ORACLE,
+    "op3_decontamination": decontamination.ORACLE,
 }
