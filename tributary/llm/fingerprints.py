@@ -51,9 +51,7 @@ def pack(kept: Column) -> Column:
 
 
 def unpack(packed: Column) -> Column:
-    digits = F.lower(F.hex(packed))
-    places = F.sequence(F.lit(0), F.greatest(F.length(packed) / 8 - 1, F.lit(0)).cast("int"))
-    return F.when(F.length(packed) == 0, F.array().cast("array<string>")).otherwise(F.transform(places, lambda i: F.substring(digits, i * DIGITS + 1, F.lit(DIGITS))))
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(f".{{{DIGITS}}}"), 0)
 
 
 def merge(a: Column, b: Column) -> Column:

@@ -33,7 +33,7 @@ from . import textcore as tc
 from .storage import ship
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
-PER_LANG, MAX_LANGS = 1200, 200
+PER_LANG, MAX_LANGS, SALTS = 1280, 200, 64
 PRECISION, MAX_REJECTED = 0.995, 0.005
 #: Bounds between the numbers of features that have a temperature of their own.
 LENGTHS = (24, 96, 384)
@@ -112,12 +112,13 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(lang, text, part): at most per_lang rows of each of the most frequent languages; part 0 of 5 calibrates, and -1 are its heads.
 
-    row_number with a bound is cut in each task before the exchange, so a frequent language loads no task.
+    The bound is split over SALTS classes of the hash, so that a frequent language is not ranked in one task.
     """
     some = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     top = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("i") <= per_lang)
-    chosen = ranked.join(F.broadcast(top), "lang").select("doc_id", (F.col("i") % 5).alias("part"))
+    ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("i") <= max(1, per_lang // SALTS))
+    chosen = ranked.join(F.broadcast(top), "lang").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part"))
     # At most MAX_LANGS * per_lang rows of two numbers: bounded.
     rows = some.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "part")
     heads = F.array(*(F.array_join(F.slice(F.split("text", r"\s+"), 1, k), " ") for k in HEADS))
@@ -145,6 +146,7 @@ def _sparse(rows: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, epochs: int = 12, least_steps: int = 1000, rate: float = 2.0, batch: int = 32, seed: int = 7) -> LanguageModel | None:
     """Train and calibrate on the documents that may be learned from."""
+    ship(docs.sparkSession)
     rows = _sparse(training_rows(docs, per_lang))
     langs = tuple(sorted({r[0] for r in rows}))
     if not langs:
