@@ -101,18 +101,24 @@ class Encoder:
         self.symbol = np.full(0x110000, -1, np.int32)
         for c, i in self.vocabulary.chars.items():
             self.symbol[ord(c)] = i
+        self.maybe = np.zeros(1 << 20, bool)  # by 20 bits of a pair's hash: most pairs that don't join stop here
+        self.maybe[(self.vocabulary.pairs * _A >> np.uint64(44)).astype(np.int64)] = True
         self.limit = np.uint64(min(int(self.dropout * 2**64), 2**64 - 1))
 
     def _rank(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place by score of each candidate (never: no such piece, or skipped) and the id it joins to."""
         v = self.vocabulary
         pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        some = np.flatnonzero(self.maybe[(pair * _A >> np.uint64(44)).astype(np.int64)] & (left >= 0) & (right >= 0))
+        pair = pair[some]
         at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
-        good = (v.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        good = v.pairs[at] == pair
         if self.limit:
-            place = start.astype(np.uint64) * _A ^ mid.astype(np.uint64) * _B ^ end.astype(np.uint64) * _C
-            good &= tc.mix(key ^ tc.mix(place)) >= self.limit
-        return np.where(good, v.rank[at], _NEVER), v.joined[at]
+            place = start[some].astype(np.uint64) * _A ^ mid[some].astype(np.uint64) * _B ^ end[some].astype(np.uint64) * _C
+            good &= tc.mix(key[some] ^ tc.mix(place)) >= self.limit
+        rank, joined = np.full(len(left), _NEVER, np.int32), np.zeros(len(left), np.int32)
+        rank[some[good]], joined[some[good]] = v.rank[at[good]], v.joined[at[good]]
+        return rank, joined
 
     def _offset(self, variant: int) -> int:
         return (self.seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F) % 2**64
@@ -148,7 +154,7 @@ class Encoder:
             a = np.array(i)
             m = np.array([nxt[x] for x in i])
             e = np.array([nxt[nxt[x]] for x in i])
-            r, j = self._rank(np.array([sym[x] for x in i]), np.array([sym[x] for x in m.tolist()]), key, a, m, e)
+            r, j = self._rank(np.array([sym[x] for x in i]), np.array([sym[x] for x in m.tolist()]), np.repeat(key, len(i)), a, m, e)
             for k in np.flatnonzero(r != _NEVER):
                 heapq.heappush(heap, (int(r[k]), i[k], int(m[k]), int(e[k]), int(j[k])))
 
@@ -164,9 +170,9 @@ class Encoder:
         at = [i for i in range(n) if alive[i]]
         return self._out(unit, [sym[i] for i in at], at)
 
-    def encode_many(self, units: list[str], variants: list[int]) -> list[bytes]:
+    def encode_many(self, units: list[str], variant: int) -> list[bytes]:
         """Units of at most LONG characters, all merged side by side."""
-        sizes = np.array([len(u) for u in units])
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         width = int(sizes.max())
         count = len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
@@ -175,12 +181,12 @@ class Encoder:
         first = np.cumsum(sizes) - sizes
         col = np.arange(len(flat)) - first[row]
         part = tc.mix(codes * _A + (col + 1).astype(np.uint64) * _B)
-        key = np.add.reduceat(part, first) + np.array([self._offset(v) for v in range(self.variants)], np.uint64)[variants]
+        key = np.add.reduceat(part, first) + np.uint64(self._offset(variant))
         key = tc.mix(key)
-        sym = np.full((count, width + 1), -1, np.int64)
+        sym = np.full((count, width + 1), -1, np.int32)
         sym[row, col] = flat
-        nxt = np.tile(np.arange(1, width + 2), (count, 1))
-        prv = np.tile(np.arange(-1, width), (count, 1))
+        nxt = np.tile(np.arange(1, width + 2, dtype=np.int32), (count, 1))
+        prv = np.tile(np.arange(-1, width, dtype=np.int32), (count, 1))
         rank = np.full((count, width), _NEVER, np.int32)
         joined = np.zeros((count, width), np.int32)
         inner = col < sizes[row] - 1
@@ -218,46 +224,60 @@ class Encoder:
         ends = np.cumsum(per)
         mixed = np.zeros(count, bool)
         mixed[row[~plain]] = True
-        out = []
-        for k in range(count):
-            a, b = ends[k] - per[k], ends[k]
-            out.append(self._out(units[k], left[a:b].tolist(), col[a:b].tolist()) if mixed[k] else ids[a:b].tobytes())
+        raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out = [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+        for k in np.flatnonzero(mixed).tolist():
+            x, y = bounds[k] // 4, bounds[k + 1] // 4
+            out[k] = self._out(units[k], left[x:y].tolist(), col[x:y].tolist())
         return out
 
-    def _learn(self, missing: set[tuple[str, int]]) -> None:
-        todo = sorted(missing, key=lambda x: len(x[0]))
-        while todo and len(todo[-1][0]) > LONG:
-            unit, v = todo.pop()
-            self.known[v][unit] = self.encode_long(unit, v)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            for (unit, v), ids in zip(part, self.encode_many([u for u, _ in part], [v for _, v in part])):
-                self.known[v][unit] = ids
+    def _learn(self, variant: int, missing: set[str]) -> None:
+        units = list(missing)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable").tolist()
+        short = int((sizes <= LONG).sum())
+        known = self.known[variant]
+        for k in order[short:]:
+            known[units[k]] = self.encode_long(units[k], variant)
+        for i in range(0, short, 20_000):
+            part = [units[k] for k in order[i : min(short, i + 20_000)]]
+            known.update(zip(part, self.encode_many(part, variant)))
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
-        """Ids of some texts. A group of texts of about a chunk is looked up together."""
+        """Ids of some texts. A group of texts of about two chunks is looked up together."""
         out: list[np.ndarray | None] = []
         i = 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size < tc.CHUNK_BYTES):
+            while j < len(texts) and (j == i or size < 2 * tc.CHUNK_BYTES):
                 size += len(texts[j] or "")
                 j += 1
-            work = []
-            for text, key in zip(texts[i:j], keys[i:j]):
-                units = _UNIT.findall(" " + text) if text else []
-                place = np.arange(len(units), dtype=np.uint64)
-                which = tc.mix(tc.mix(place + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64))) % np.uint64(self.variants)
-                work.append((text, units, which.tolist()))
             if sum(map(len, self.known)) > KEPT:
                 for d in self.known:
                     d.clear()
-            missing = {(u, v) for _, units, which in work for u, v in zip(units, which) if u not in self.known[v]}
-            if missing:
-                self._learn(missing)
-            known = self.known
-            for text, units, which in work:
-                out.append(None if text is None else np.frombuffer(b"".join([known[v][u] for u, v in zip(units, which)]), np.int32))
+            work, missing = [], [set() for _ in self.known]
+            for text, key in zip(texts[i:j], keys[i:j]):
+                units = np.array(_UNIT.findall(" " + text) if text else [], object)
+                which = tc.mix(tc.mix(np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64))) % np.uint64(self.variants)
+                got = np.empty(len(units), object)
+                late = []
+                for v, known in enumerate(self.known):
+                    at = np.flatnonzero(which == v)
+                    own = units[at].tolist()
+                    have = list(map(known.get, own))
+                    if None in have:
+                        missing[v].update([u for u, x in zip(own, have) if x is None])
+                        late.append((v, at, own))
+                    else:
+                        got[at] = have
+                work.append((text, got, late))
+            for v, some in enumerate(missing):
+                if some:
+                    self._learn(v, some)
+            for text, got, late in work:
+                for v, at, own in late:
+                    got[at] = list(map(self.known[v].__getitem__, own))
+                out.append(None if text is None else np.frombuffer(b"".join(got.tolist()), np.int32))
             i = j
         return out
 
@@ -305,10 +325,11 @@ def with_text(spark: SparkSession, df: DataFrame, ids: str = "ids", name: str =
     return df.withColumn(name, decoder(Vocabulary.load(model))(F.col(ids)))
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 and whether the text came back."""
+def digest(df: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns named, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 and whether the text came back."""
     return df.select(
         "doc_id",
+        *more,
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<int>")), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.coalesce("decoded", F.lit("")).cast("binary"), 256).alias("decoded_sha256"),
