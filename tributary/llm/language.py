@@ -227,6 +227,7 @@ def detector(model: LanguageModel | None):
             score, lang = p.max(1), np.array(model.langs, object)[p.argmax(1)]
             lang[~letter], score[~letter] = UNKNOWN, 0.0
             rejected = ~letter | (score < model.bound)
+            tc.relax()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["lang", "score", "rejected"])
 
     return F.arrow_udf(detect, RESULT).asNondeterministic()

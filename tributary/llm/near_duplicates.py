@@ -187,6 +187,7 @@ def _verify(threshold: float):
             if (before == root).all():
                 break
         some = np.flatnonzero(links > 0)
+        tc.relax()
         return pa.table({"rep": pa.array(rep[some]), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(rep[root[some]])})
 
     return run

@@ -138,6 +138,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             if where:
                 for row, e, c, t, (x, y) in zip(where, *(tc.signed(_hash(v)).tolist() for v in (entities, contexts)), term_hashes(terms).tolist(), bounds):
                     mentions[row].append({"entity": e, "context": c, "term": t, "a": x, "b": y})
+            tc.relax()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans_out, pa.list_(span)), pa.array(mentions, pa.list_(mention))], ["doc_id", "tag", "spans", "mentions"])
 
     schema = "doc_id long, tag long, spans array<struct<a: int, kind: int, b: int>>, mentions array<struct<entity: long, context: long, term: long, a: int, b: int>>"

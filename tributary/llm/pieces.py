@@ -299,6 +299,7 @@ def encoder(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED,
         offsets = np.zeros(len(ids) + 1, np.int32)
         np.cumsum([0 if x is None else len(x) for x in ids], out=offsets[1:])
         gone = pa.array([x is None for x in ids])
+        tc.relax()
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=gone)
 
     return F.arrow_udf(encode, "array<int>").asNondeterministic()

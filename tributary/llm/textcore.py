@@ -8,6 +8,7 @@ their place by the inverse power, and finished with a bit mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -180,6 +181,24 @@ def chunks(column: pa.Array | pa.ChunkedArray, table: np.ndarray = NOT_SPACE, fo
         part = data[offsets[row] : offsets[end]]
         yield Words(part if fold is None else fold[part], offsets[row : end + 1] - offsets[row], table, row)
         row = end
+    relax()
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim.restype = ctypes.c_int
+        return libc
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def relax() -> None:
+    """Give freed memory back to the system: a worker waits for further tasks beside those that run."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
