@@ -34,7 +34,7 @@ from .storage import ship
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 PER_LANG, MAX_LANGS, SALTS = 1280, 200, 64
-PRECISION, MAX_REJECTED = 0.995, 0.005
+PRECISION, MAX_REJECTED = 0.98, 0.005
 #: Bounds between the numbers of features that have a temperature of their own.
 LENGTHS = (24, 96, 384)
 #: Words of the texts' heads that are calibrated on besides the whole texts.

@@ -287,6 +287,13 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return raw[1:].decode() if raw[:1] == b" " else raw.decode()
 
 
+def _list_of(ids: list[np.ndarray | None]) -> pa.Array:
+    flat = np.concatenate([x for x in ids if x is not None]) if any(x is not None for x in ids) else np.zeros(0, np.int32)
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([0 if x is None else len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
+
+
 def encoder(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
     """A column function (text, key) -> ids."""
     state: dict[str, Encoder] = {}
@@ -295,12 +302,9 @@ def encoder(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED,
         if "encoder" not in state:
             state["encoder"] = Encoder(vocabulary, dropout, seed, variants)
         ids = state["encoder"].encode(text.to_pylist(), [x or 0 for x in key.to_pylist()])
-        flat = np.concatenate([x for x in ids if x is not None]) if any(x is not None for x in ids) else np.zeros(0, np.int32)
-        offsets = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([0 if x is None else len(x) for x in ids], out=offsets[1:])
-        gone = pa.array([x is None for x in ids])
+        out = _list_of(ids)
         tc.relax()
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=gone)
+        return out
 
     return F.arrow_udf(encode, "array<int>").asNondeterministic()
 
@@ -314,6 +318,29 @@ def decoder(vocabulary: Vocabulary):
     return F.arrow_udf(decode, "string").asNondeterministic()
 
 
+def round_tripper(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    """A column function (text, key) -> struct of ids and what they decode to, in one worker."""
+    state: dict[str, Encoder] = {}
+
+    def both(text: pa.Array, key: pa.Array) -> pa.Array:
+        if "encoder" not in state:
+            state["encoder"] = Encoder(vocabulary, dropout, seed, variants)
+        ids = state["encoder"].encode(text.to_pylist(), [x or 0 for x in key.to_pylist()])
+        back = pa.array([None if x is None else decode_ids(vocabulary, x.tolist()) for x in ids], pa.string())
+        out = pa.StructArray.from_arrays([_list_of(ids), back], ["ids", "decoded"])
+        tc.relax()
+        return out
+
+    return F.arrow_udf(both, "ids array<int>, decoded string").asNondeterministic()
+
+
+def with_round_trip(spark: SparkSession, docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """docs with ids and decoded; as with_pieces and with_text one after the other, with half the workers."""
+    ship(spark)
+    both = docs.withColumn("__both", round_tripper(Vocabulary.load(model), dropout, seed)(F.col("text"), F.col("doc_id").cast("long")))
+    return both.withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")
+
+
 def with_pieces(spark: SparkSession, docs: DataFrame, name: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """docs with the ids of their texts."""
     ship(spark)
@@ -340,4 +367,4 @@ def digest(df: DataFrame, *more: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(with_text(spark, with_pieces(spark, docs)))
+    return digest(with_round_trip(spark, docs))

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Arrow batches to Python end at either bound, so that a batch of long texts stays small.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
