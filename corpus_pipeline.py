@@ -42,8 +42,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number and digest, and whether they decode to the text."""
-    df = pieces.with_text(spark, pieces.with_pieces(spark, docs.select("doc_id", "text")))
-    return pieces.digest(df, "ids")
+    return pieces.digest(pieces.with_round_trip(spark, docs.select("doc_id", "text")), "ids")
 
 
 STAGES = [
