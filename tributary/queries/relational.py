@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,7 +171,13 @@ def _(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # Aggregates
-_net = c("l_extendedprice") * (1 - c("l_discount"))
+
+
+def _net() -> Column:
+    """Price after discount."""
+    return c("l_extendedprice") * (1 - c("l_discount"))
+
+
 simple("agg_group_by", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1", "orders", lambda d: rel.aggregate(d, ["o_orderstatus"], n=F.count("*"), total=F.round(F.sum("o_totalprice"), 2)))
 simple("agg_global", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem", "lineitem", lambda d: rel.aggregate(d, [], n=F.count("*"), q=F.round(F.sum("l_quantity"), 2)))
 simple("agg_empty_global", "SELECT count(*) AS n, sum(l_quantity) AS s, max(l_quantity) AS m FROM lineitem WHERE l_quantity < 0", "lineitem", lambda d: rel.aggregate(d.where("l_quantity < 0"), [], n=F.count("*"), s=F.sum("l_quantity"), m=F.max("l_quantity")))
@@ -181,7 +187,7 @@ simple("agg_sum", "SELECT l_linenumber, sum(CAST(l_linenumber AS DOUBLE)) AS s F
 simple("agg_avg", "SELECT p_brand, round(avg(p_size), 6) AS a FROM part GROUP BY 1", "part", lambda d: rel.aggregate(d, ["p_brand"], a=F.round(F.avg("p_size"), 6)))
 simple("agg_min_max", "SELECT p_type, min(p_size) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1", "part", lambda d: rel.aggregate(d, ["p_type"], lo=F.min("p_size"), hi=F.max("p_retailprice")))
 simple("agg_min_max_string_date", "SELECT o_orderstatus, min(o_orderpriority) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY 1", "orders", lambda d: rel.aggregate(d, ["o_orderstatus"], lo=F.min("o_orderpriority"), hi=F.max("o_orderdate")))
-simple("agg_expr", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY 1", "lineitem", lambda d: rel.aggregate(d, ["l_returnflag"], net=F.round(F.sum(_net), 2)))
+simple("agg_expr", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY 1", "lineitem", lambda d: rel.aggregate(d, ["l_returnflag"], net=F.round(F.sum(_net()), 2)))
 simple("agg_conditional_sum", "SELECT o_orderstatus, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0 END) AS urgent FROM orders GROUP BY 1", "orders", lambda d: rel.aggregate(d, ["o_orderstatus"], urgent=F.sum(F.when(c("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))))
 simple("agg_of_agg_arith", "SELECT l_returnflag, round(100.0::DOUBLE * sum(l_discount) / sum(l_quantity), 6) AS ratio FROM lineitem GROUP BY 1", "lineitem", lambda d: rel.aggregate(d, ["l_returnflag"], ratio=F.round(100.0 * F.sum("l_discount") / F.sum("l_quantity"), 6)))
 simple("group_by_distinct", "SELECT p_brand, p_type FROM part GROUP BY 1, 2", "part", lambda d: rel.distinct(d, "p_brand", "p_type"))

@@ -57,8 +57,8 @@ query(
     f"{_REUSE}, f AS (SELECT page_id, ln(reuse + 1) AS y, coalesce(ln(1 + t - lag(t) OVER (PARTITION BY page_id ORDER BY t)), 0.0) AS p FROM r), g AS (SELECT page_id, avg(p) AS p, avg(y) AS y FROM f GROUP BY 1) SELECT round(avg(pow(p - y, 2)), 6) AS page_mse, count(*) AS pages FROM g",
 )(lambda d: trace.page_mse(trace.reuse_distance(d).select("trace_id", "t", F.log1p("reuse").alias("label")).join(trace.recency_features(d), ["trace_id", "t"]), "recency", "label").select(F.round("page_mse", 6).alias("page_mse"), "pages"))
 query("trace_policy_simulation")(lambda d: trace.simulate(d, [16, 64]))
-query("trace_ranking_accuracy")(lambda d: trace.simulate(d, [32], ("lru", "score")).select("policy", "pool", "ranking_accuracy"))
-query("trace_eviction_samples")(lambda d: trace.eviction_samples(d, 32))
+query("trace_ranking_accuracy")(lambda d: trace.simulate(d, [8], ("lru", "score")).select("policy", "pool", "ranking_accuracy"))
+query("trace_eviction_samples")(lambda d: trace.eviction_samples(d, 8))
 QUERIES["trace_zipf_source"] = lambda spark, folder: trace.zipf_trace(spark, 20_000, 512)
 
 

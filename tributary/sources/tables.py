@@ -59,9 +59,9 @@ def render_csv(df: DataFrame, name: str = "line") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """The rendered lines under a header, as text files."""
-    header = ",".join(df.columns)
-    render_csv(df, header).write.mode("overwrite").option("header", True).option("quote", "").csv(path)
+    """CSV files with a header and RFC 4180 quoting; doubles with at most two decimals."""
+    columns = [decimal_text(F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes]
+    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def append(table_: DataFrame, rows: DataFrame) -> DataFrame:
