@@ -20,6 +20,7 @@ answered (rows are told apart by a hash of their text). An empty table gives no
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,27 +88,24 @@ def _hash(values: list[str]) -> np.ndarray:
     return out
 
 
-def _terms_near(text: str, start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Bounds of the NEAR terms before and after a span that are in no base span. Looks at as much text as it needs."""
-    spans = [(a, b) for a, _, b in taken]
-    free = lambda a, b: not any(x < b and a < y for x, y in spans)
-    before: list[tuple[int, int]] = []
-    size = 64 * NEAR
-    low = start
-    while low > 0:
-        low = max(0, start - size)
-        cut = low
-        before = [(m.start(), m.end()) for m in _TERM.finditer(text, low, start) if (m.start() > cut or low == 0) and free(m.start(), m.end())]
-        if len(before) >= NEAR:
-            break
-        size *= 4
-    after: list[tuple[int, int]] = []
-    for m in _TERM.finditer(text, end):
-        if free(m.start(), m.end()):
-            after.append((m.start(), m.end()))
-        if len(after) == NEAR:
-            break
-    return before[-NEAR:] + after
+def _terms_near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """For each span the bounds of the NEAR terms before and after it that touch no base span.
+
+    One pass over the text, then binary searches: time and memory grow with the text and its spans, however dense they are.
+    """
+    flat = array("q")
+    for m in _TERM.finditer(text):
+        flat.extend(m.span())
+    start, end = np.array(flat, np.int64).reshape(-1, 2).T
+    low, high = np.array([a for a, _, _ in spans]), np.maximum.accumulate([b for _, _, b in spans])
+    # Spans are in order of their starts: of those that start before a term's end, one at least must end after its start.
+    at = np.searchsorted(low, end)
+    free = (at == 0) | (high[at - 1] <= start)
+    start, end = start[free], end[free]
+    for a, _, b in spans:
+        i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b))
+        near = [*range(max(0, i - NEAR), i), *range(j, min(len(start), j + NEAR))]
+        yield list(zip(start[near].tolist(), end[near].tolist()))
 
 
 def _lower(term: str) -> str:
@@ -125,8 +123,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             for row, text in enumerate(batch.column(2).to_pylist()):
                 spans = base_spans(text) if text else []
                 spans_out.append([{"a": a, "kind": k, "b": b} for a, k, b in spans])
-                for a, k, b in spans:
-                    near = _terms_near(text, a, b, spans)
+                for (a, k, b), near in zip(spans, _terms_near(text, spans) if spans else ()):
                     words = [_lower(text[x:y]) for x, y in near]
                     for w, (x, y) in zip(words, near):
                         where.append(row)
@@ -200,16 +197,15 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scanned = work.save(_scan(docs), "scanned")
     mentions = work.save(scanned.select("doc_id", "tag", F.explode("mentions").alias("m")).select("doc_id", "tag", "m.*"), "mentions")
     found = work.save(disclosing(work, docs, mentions), "disclosing")
-    extra = mentions.join(found, ["entity", "term"]).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "kind", "b")).alias("more"))
+    # A term near several mentions: the stronger kind, once.
+    strongest = mentions.join(found, ["entity", "term"]).groupBy("doc_id", "tag", "a", "b").agg(F.max("kind").alias("kind"))
+    extra = strongest.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "kind", "b")).alias("more"))
     extra = work.save(extra, "extra")
     work.release()
     x = extra.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "more")
     joined = scanned.join(x, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
-    # A term near several mentions: the stronger kind, once.
     none = F.array().cast("array<struct<a: int, kind: int, b: int>>")
-    more = F.coalesce("more", none)
-    strongest = F.filter(F.array_distinct(more), lambda s: ~F.exists(more, lambda o: (o["a"] == s["a"]) & (o["kind"] > s["kind"])))
-    return joined.select("doc_id", "tag", F.array_sort(F.concat(F.coalesce("spans", none), strongest)).alias("spans"))
+    return joined.select("doc_id", "tag", F.array_sort(F.concat(F.coalesce("spans", none), F.coalesce("more", none))).alias("spans"))
 
 
 def _mask(text: pa.Array, spans: pa.Array) -> pa.Array:
