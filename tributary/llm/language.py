@@ -14,7 +14,8 @@ letters is always rejected (`und`, score 0).
 Bound: at most PER_LANG labelled documents of each of the MAX_LANGS most frequent languages are taught, those
 with the least hash of their id. Everything else covers all rows and whole texts.
 
-Edge cases: a null text, and one without a letter, gets `und`. Rows without a language aren't learned from.
+Edge cases: a null text, and one without a letter, gets `und`. Rows without a language aren't learned from; of
+rows that repeat a doc_id and language, the least text is.
 With no labelled row all texts are rejected; with one language all others get it. Other columns are ignored.
 """
 
@@ -118,9 +119,9 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     top = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
     ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("i") <= max(1, per_lang // SALTS))
-    chosen = ranked.join(F.broadcast(top), "lang").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part"))
-    # At most MAX_LANGS * per_lang rows of two numbers: bounded.
-    rows = some.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "part")
+    chosen = ranked.join(F.broadcast(top), "lang").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part")).distinct()
+    # At most MAX_LANGS * per_lang short rows: bounded. One text for each, so that a doc_id with many rows stays within the bound.
+    rows = some.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "part").agg(F.min("text").alias("text"))
     heads = F.array(*(F.array_join(F.slice(F.split("text", r"\s+"), 1, k), " ") for k in HEADS))
     whole = F.struct("text", "part")
     return rows.select("lang", F.explode(F.when(F.col("part") == 0, F.concat(F.array(whole), F.transform(heads, lambda t: F.struct(t.alias("text"), F.lit(-1).alias("part"))))).otherwise(F.array(whole))).alias("x")).select("lang", "x.text", "x.part")
