@@ -9,7 +9,8 @@ the same search over the tie keys of its rows. Then the rows are exchanged once.
 
 Law: `bytes`. Equal texts stay in one shard unless they weigh more than the tolerance.
 
-Slots: numbers from 0 without gaps in a shard. Rows of a shard are dealt over LANES lanes by their tie key,
+Slots: numbers from 0 without gaps in a shard. Rows of a shard are dealt over lanes, whose number follows the bytes
+of a shard so that a task's sort stays the same at any size, by their tie key,
 which does not follow the text, so that one text with a third of all rows loads no lane more than others.
 A lane's first slot is the sum of the counts of the lanes before it; counts come from one aggregate.
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 PROBE_BITS = 10
 #: Share of a shard's target by which a splitter may miss it.
 TOLERANCE = 0.002
-LANES = 64
+#: Lanes of a shard at least and at most; between them a lane has about LANE_BYTES.
+LANES, LANE_BYTES, MAX_LANES = 64, 256 << 20, 1 << 16
 _SPACE = 1 << 64
 
 
@@ -132,9 +134,10 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, id_col
         if width:
             above = above | (_least(F.col("__key"), bound) & _least(F.col("__tie"), ties[i]))
         place = place + above.cast("int")
-    lane = F.pmod(F.col("__tie"), F.lit(LANES)).cast("int")
+    lanes = min(MAX_LANES, max(LANES, total // shards // LANE_BYTES))
+    lane = F.pmod(F.col("__tie"), F.lit(lanes)).cast("int")
     placed = rows.withColumn("shard", place.cast("int")).withColumn("__lane", lane)
-    counts = placed.groupBy("shard", "__lane").agg(F.count("*").alias("__n"))  # at most shards * LANES rows
+    counts = placed.groupBy("shard", "__lane").agg(F.count("*").alias("__n"))  # at most shards * MAX_LANES rows of three numbers: bounded, so sent to all
     before = Window.partitionBy("shard").orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "__lane", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy("shard", "__lane").orderBy("__key", "__tie")
