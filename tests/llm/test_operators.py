@@ -105,6 +105,16 @@ def test_language(spark, docs, empty, data):
     assert language.with_language(spark, docs, empty).where("NOT language.rejected").count() == 0
 
 
+def test_hot_doc_id_is_taught_once(spark):
+    """One doc_id with most of the rows stays within the training bounds of both classifiers."""
+    rows = [(1 if i % 2 else i, f"text number {i} of the hot one", "en") for i in range(2000)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = train.where(~language.held_out(F.col("doc_id"))).select("doc_id").distinct().count()
+    assert language.training_rows(train, 10**6).where("part >= 0").count() == known
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 2000, 2)] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in toxicity.with_toxicity(spark, train, labels).collect()} == {r[0] for r in rows}
+
+
 def brute_links(texts):
     sets, links, parent = {}, collections.Counter(), {i: i for i in texts}
 
@@ -252,7 +262,7 @@ def check_shards(rows, shards):
         assert own == list(range(len(own)))
 
 
-def test_sharding(spark, docs, empty, data):
+def test_sharding(spark, docs, empty, data, monkeypatch):
     rows = sharding.shard(docs).collect()
     assert len(rows) == docs.count() and "__key" in rows[0] and all(r.size == len((r.text or "").encode()) + 1 for r in rows)
     check_shards(rows, 8)
@@ -268,6 +278,8 @@ def test_sharding(spark, docs, empty, data):
     check_shards(rows, 8)
     bytes_ = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
     assert max(bytes_) < 1.02 * min(bytes_)
+    monkeypatch.setattr(sharding, "LANE_BYTES", 64)  # many more lanes than rows of a shard
+    check_shards(sharding.shard(real).collect(), 8)
     crc = queries.QUERIES["op9_sharding"](spark, data).where("doc_id = 0").first().text_crc32
     assert crc == zlib.crc32(real.where("doc_id = 0").first().text.encode())
 

@@ -12,7 +12,8 @@ Bound: at most MAX_TRAINING labelled documents are taught, those with the least
 all rows and whole texts.
 
 Edge cases: a null or empty text has no word: it gets the models' base rates and is never called toxic. Repeated
-labels of a document count as one, with any category that one of them has. Null labels aren't learned from. With no
+labels of a document count as one, with any category that one of them has; of rows that repeat a doc_id, the least
+text is taught. Null labels aren't learned from. With no
 labels, or one class only, a category's probability is its rate and nothing is called. Other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .storage import ship
+from .storage import Workspace, ship
 
 MAX_TRAINING, MAX_FEATURES, FOLDS, RIDGE, LEAST_Z = 20_000, 192, 5, 1.0, 4.0
 EDGES = (5, 6, 7)
@@ -171,14 +172,15 @@ def _best_bound(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN, most: int = MAX_TRAINING) -> Chain:
-    ship(docs.sparkSession)
     marks = [F.max(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in chain]
     known = labels.where("doc_id IS NOT NULL").where(" AND ".join(f"({rule}) IS NOT NULL" for _, rule in chain)).groupBy("doc_id").agg(*marks)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most MAX_TRAINING rows: bounded, so sent to all
     names = [name for name, _ in chain]
     combos = 1 << len(names)
     bits = sum((F.col(n).cast("int") * (1 << i) for i, n in enumerate(names)), F.lit(0))
-    taught = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", bits.alias("bits"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+    taught = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", bits.alias("bits")).agg(F.min("text").alias("text"))
+    # At most MAX_TRAINING texts, whatever the number of rows: read three times below, so written once.
+    taught = Workspace(docs.sparkSession, "toxicity").save(taught.select("doc_id", "text", "bits", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "taught")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
