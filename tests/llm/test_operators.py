@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -256,6 +257,32 @@ def test_url_rules(spark):
     assert url_rules.mine(many, labels.where("false")) == [] and url_rules.judge(pages.where("false"), mined).count() == 0
 
 
+def test_url_rules_are_not_cut(spark):
+    """A URL template of 15 tokens that always go together does not crowd out the rules of a less sure one; rules of several tokens fit by the joined index."""
+    kinds = [("http://www.pills.shop.net/buy/cheap/now.html?ref=x&id={}", 100, 1.0), ("http://casino.net/bonus/{}", 80, 0.75), ("http://mix.net/alpha/beta/{}", 50, 1.0), ("http://mix.net/alpha/{}", 50, 0.0), ("http://mix.net/beta/{}", 50, 0.0), ("http://good.net/page/{}", 300, 0.0)]
+    rows, of = [], []
+    for k, (url, n, bad) in enumerate(kinds):
+        for i in range(n):
+            rows.append((len(rows), url.format(len(rows)), int(i >= bad * n)))
+            of.append(k)
+    pages = spark.createDataFrame(rows, "page_id long, url string, quality int")
+    mined = url_rules.mine(pages.select("page_id", "url"), pages.select(F.col("page_id").alias("doc_id"), "quality"))
+    brute = {}
+    for r in pages.select("quality", url_rules.tokens(F.col("url")).alias("t")).collect():
+        for size in (1, 2):
+            for part in itertools.combinations(sorted(r.t), size):
+                seen = brute.setdefault(part, [0, 0])
+                seen[0] += 1
+                seen[1] += r.quality == 0
+    sure = {p: b / n for p, (n, b) in brute.items() if b >= 5 and b / n >= url_rules.MIN_CONFIDENCE}
+    want = {p for p in sure if len(p) == 1 or all(sure.get((x,), 0) < sure[p] for x in p)}
+    assert {tuple(sorted(c)) for r in mined for c in itertools.product(*r.items)} == want
+    judged = url_rules.judge(pages, mined).select("page_id", "verdict", "n_mined").collect()
+    assert len(judged) == len(rows) and all(r.verdict == ("block" if of[r.page_id] in (0, 1, 2) else "allow") for r in judged)
+    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    assert all(r.n_mined == sum(set(p) <= tokens[r.page_id] for p in want) for r in judged)
+
+
 def check_shards(rows, shards):
     for s in range(shards):
         own = sorted(r.slot for r in rows if r.shard == s)

@@ -4,13 +4,15 @@ Explicit rules come first: the longest that fits decides. For every other URL th
 
 Mining. A URL is the set of its tokens: host labels, registered-like host suffixes, path words without
 digits, file extension, query keys and a fragment mark. Labelled pages (labels.doc_id = page_id; quality 0
-is bad) give one basket each, with the item `=bad` for bad ones. FP-growth finds itemsets over all labelled
-pages (or at most MAX_TRAINING, those with the least hash of their id); a rule `tokens => =bad` stays if
-its confidence and support reach the bounds and no shorter rule within it is as confident.
+is bad) give one basket each, with the item `=bad` for bad ones. Tokens that are in the same baskets throughout
+are one item (a class): of such tokens a rule never needs two, and any of them serves. FP-growth finds itemsets
+over all labelled pages (or at most MAX_TRAINING, those with the least hash of their id); a rule
+`classes => =bad` stays if its confidence and support reach the bounds and no shorter rule within it is as
+confident. This pruning is done in Spark, size by size, and no number of rules is set.
 
-Matching. Rules are an inverted index: token -> numbers of the rules that have it. A URL's tokens are looked
-up and a rule fits if it is hit as often as it has tokens. The index is a literal of at most MAX_RULES rules
-(the strongest), so it is bounded whatever the table, and URLs are judged where they are: nothing is shuffled.
+Matching. Rules are an inverted index, a table: token -> class, and class -> the rules whose rarest class it is.
+The tokens of each different URL are looked up, a rule found is verified, and it fits if the URL has a token of
+each of its classes; it counts once for each choice of such tokens. Where there are no rules nothing is joined.
 
 Edge cases: a null URL or one without `://` has an empty host and path, no tokens, and is allowed. An empty
 label table mines no rule. Rows that repeat a page_id are all answered. Other columns are ignored.
@@ -24,10 +26,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import Workspace
+
 #: (verdict, host, path): fixed values of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Labelled pages that are mined at most, and rules that are kept at most.
-MAX_TRAINING, MAX_RULES = 200_000, 2_000
+#: Labelled pages that are mined at most.
+MAX_TRAINING = 200_000
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.002, 0.6, 5
 BAD = "=bad"
 
@@ -74,56 +78,102 @@ def tokens(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class MinedRule:
-    items: tuple[str, ...]
+    """items: for each class of tokens the tokens, any of which serves."""
+
+    items: tuple[tuple[str, ...], ...]
     confidence: float
     support: float
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[MinedRule]:
-    """Pruned rules from the labelled pages, strongest first."""
+RULE_SCHEMA = "items array<array<string>>, confidence double, support double"
+
+
+def mine_table(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
+    """The pruned rules from the labelled pages, all of them: items, confidence, support. None: there are none."""
+    work = Workspace(pages.sparkSession, "url_rules")
     bad = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
     baskets = pages.select("page_id", "url").where("url IS NOT NULL").join(bad, "page_id").orderBy(F.xxhash64("page_id", "url")).limit(MAX_TRAINING)
-    baskets = baskets.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = work.save(baskets.select(F.monotonically_increasing_id().alias("b"), tokens(F.col("url")).alias("tokens"), "bad"), "baskets")
     n = baskets.count()
     if not n:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).select("antecedent", "confidence", "support")
-    found = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent")).limit(10 * MAX_RULES).collect()
-    kept: list[MinedRule] = []
-    for r in sorted(found, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, sorted(r.antecedent))):
-        items = set(r.antecedent)
-        if not any(set(k.items) <= items and k.confidence >= r.confidence for k in kept):
-            kept.append(MinedRule(tuple(sorted(items)), r.confidence, r.support))
-    return sorted(kept, key=lambda k: (-k.confidence, -k.support, k.items))[:MAX_RULES]
-
-
-def mined_hits(found: Column, rules: list[MinedRule]) -> Column:
-    """Numbers of the mined rules that fit a token set, through the inverted index."""
-    none = F.array().cast("array<int>")
-    if not rules:
-        return none
-    postings: dict[str, list[int]] = {}
-    for i, r in enumerate(rules):
-        for item in r.items:
-            postings.setdefault(item, []).append(i)
-    index = F.map_from_entries(F.array(*(F.struct(F.lit(t).alias("k"), F.array(*map(F.lit, at)).alias("v")) for t, at in sorted(postings.items()))))
-    sizes = F.array(*(F.lit(len(r.items)) for r in rules))
-    hits = F.flatten(F.transform(found, lambda t: F.coalesce(F.element_at(index, t), none)))
-    return F.filter(F.array_distinct(hits), lambda i: F.size(F.filter(hits, lambda j: j == i)) == F.element_at(sizes, i + 1))
-
-
-def judge(pages: DataFrame, mined: list[MinedRule]) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, hits (numbers of the mined rules that fit)."""
+        return None
+    least = max(min_support, MIN_COUNT / n)
+    # A rule's tokens are in as many bad baskets as the rule at least: others can be in none.
+    each = baskets.select("b", "bad", F.explode("tokens").alias("token"))
+    same = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("y"))
+    same = same.where(F.col("n_bad") >= int(least * n))
+    classes = work.save(same.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("class"), "members"), "classes")
+    of = classes.select("class")
+    held = each.join(of, each["token"] == of["class"]).groupBy("b").agg(F.collect_list("token").alias("classes"))
+    items = F.concat(F.coalesce("classes", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
+    items = work.save(baskets.select("b", "bad").join(held, "b", "left").select(items.alias("items")), "items")
+    sets = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items).freqItemsets
+    sets = work.save(sets.select(F.array_sort("items").alias("items"), F.array_contains("items", BAD).alias("bad"), "freq"), "sets")
+    with_bad = sets.where(F.col("bad") & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("n_bad"))
+    rules = with_bad.join(sets.where("NOT bad"), "items").select("items", F.size("items").alias("k"), (F.col("n_bad") / F.col("freq")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support"))
+    rules = work.save(rules, "rules")
+    sure = F.col("confidence") >= min_confidence
+    longest = rules.where(sure).agg(F.max("k")).first()[0]
+    if not longest:
+        return None
+    # best: the confidence of the surest rule within. Every part of a frequent set is frequent: the sets with one item less are all there.
+    level = rules.where("k = 1").select("items", "confidence", "support", F.lit(0.0).alias("best"))
+    kept = [level.where(sure)]
+    for k in range(2, longest + 1):
+        parts = rules.where(F.col("k") == k).select(F.col("items").alias("whole"), F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items"))
+        best = parts.join(level.select("items", F.greatest("confidence", "best").alias("best")), "items").groupBy(F.col("whole").alias("items")).agg(F.max("best").alias("best"))
+        level = work.save(rules.where(F.col("k") == k).join(best, "items").select("items", "confidence", "support", "best"), f"level{k}")
+        kept.append(level.where(sure & (F.col("confidence") > F.col("best"))))
+    found = kept[0]
+    for more in kept[1:]:
+        found = found.unionByName(more)
+    found = found.select(F.xxhash64("items").alias("id"), F.posexplode("items").alias("i", "class"), "confidence", "support").join(classes, "class")
+    found = found.groupBy("id", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("i", "members"))).alias("x"))
+    return work.save(found.select(F.col("x.members").alias("items"), "confidence", "support"), "found")
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[MinedRule]:
+    """The rules of mine_table, strongest first."""
+    found = mine_table(pages, labels, min_support, min_confidence)
+    rules = [] if found is None else [MinedRule(tuple(map(tuple, r["items"])), r.confidence, r.support) for r in found.collect()]
+    return sorted(rules, key=lambda r: (-r.confidence, -r.support, r.items))
+
+
+def mined_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, n_mined): for each different URL that some rule fits, by how many choices of its tokens."""
+    work = Workspace(pages.sparkSession, "url_hits")
+    urls = pages.select("url").where("url IS NOT NULL").distinct()
+    # A class is named by its first token; the rules of one call have classes without common tokens.
+    index = rules.select(F.explode("items").alias("members")).distinct().select(F.col("members")[0].alias("class"), F.explode("members").alias("token"))
+    has = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token")
+    has = work.save(has.groupBy("url", "class").agg(F.count("*").alias("n")).groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("has")), "has")
+    common = has.select(F.explode(F.map_keys("has")).alias("class")).groupBy("class").agg(F.count("*").alias("df"))
+    named = rules.select(F.transform("items", lambda m: m[0]).alias("rule")).withColumn("id", F.monotonically_increasing_id())
+    named = work.save(named, "named")
+    rarest = named.select("id", F.explode("rule").alias("class")).join(common, "class", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "class")).alias("x"))
+    anchors = named.join(rarest, "id").select(F.col("x.class").alias("class"), "rule")
+    choices = F.aggregate("rule", F.lit(1).cast("long"), lambda acc, c: acc * F.coalesce(F.try_element_at("has", c), F.lit(0)))
+    fits = has.select("url", "has", F.explode(F.map_keys("has")).alias("class")).join(anchors, "class").select("url", choices.alias("n"))
+    return fits.where("n > 0").groupBy("url").agg(F.sum("n").alias("n_mined"))
+
+
+def judge(pages: DataFrame, mined: DataFrame | list[MinedRule] | None) -> DataFrame:
+    """page_id, url, host, path, rule, verdict, n_mined (how many mined rules fit)."""
     host, path = host_path(F.col("url"))
     df = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    df = df.withColumns({"rule": rule, "__fixed": verdict, "hits": mined_hits(tokens(F.col("url")), mined)})
-    method = F.when(F.size("hits") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return df.withColumn("verdict", F.coalesce("__fixed", method)).drop("__fixed")
+    df = df.withColumns({"rule": rule, "__fixed": verdict})
+    if isinstance(mined, list):
+        mined = pages.sparkSession.createDataFrame([([list(m) for m in r.items], r.confidence, r.support) for r in mined], RULE_SCHEMA) if mined else None
+    hits = F.lit(0).cast("long")
+    if mined is not None:
+        df, hits = df.join(mined_hits(pages, mined), "url", "left"), F.coalesce("n_mined", F.lit(0).cast("long"))
+    df = df.withColumn("n_mined", hits)
+    method = F.when(F.col("n_mined") > 0, F.lit("block")).otherwise(F.lit("allow"))
+    return df.withColumn("verdict", F.coalesce("__fixed", method)).select("page_id", "url", "host", "path", "rule", "verdict", "n_mined")
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    mined = mine(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(pages, mined).select("page_id", "host", "path", "rule", "verdict", F.size("hits").cast("long").alias("n_mined_rules"))
+    mined = mine_table(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(pages, mined).select("page_id", "host", "path", "rule", "verdict", F.col("n_mined").alias("n_mined_rules"))
