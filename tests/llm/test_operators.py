@@ -218,6 +218,32 @@ def test_disclosing_terms(spark):
     assert all(not spans[100 + i] for i in range(300))
 
 
+def disclosed(spark, rows):
+    """The disclosing terms of each text."""
+    texts = dict(rows)
+    return {r.doc_id: sorted(texts[r.doc_id][s.a : s.b].lower() for s in r.spans if s.kind >= 4) for r in personal.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_disclosing_counts_documents(spark):
+    """A fixed signature in different documents is evidence; copies of one document are none, and don't weaken any."""
+    sign = "yours truly zorbleton from q@x.example.org in haste and with regards"
+    plain = [(1000 + i, f"yours truly from in haste and with regards plain{i}") for i in range(300)]
+    signed = [(i, f"letter{i} matter{i} {sign}") for i in range(4)]
+    once = disclosed(spark, signed + plain)
+    assert all(once[i] == ["zorbleton"] for i in range(4)) and not any(once[i] for i, _ in plain)
+    copied = disclosed(spark, [(i + 10_000 * k, t) for i, t in signed + plain for k in range(10)])
+    assert all(copied[i + 10_000 * k] == x for i, x in once.items() for k in range(10))
+    assert not any(disclosed(spark, [(i, signed[0][1]) for i in range(9)] + plain).values())
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    """A name far from the address is found, and masked wherever it stands in documents with that address, and only there."""
+    far = " ".join(f"common{j}" for j in range(40))
+    rows = [(i, f"Zorbleton letter{i} {far} q@x.example.org {far} says zorbleton") for i in range(4)] + [(1000 + i, f"letter {far} says plain{i}") for i in range(300)] + [(5000, f"zorbleton {far}")]
+    found = disclosed(spark, rows)
+    assert all(found[i] == ["zorbleton", "zorbleton"] for i in range(4)) and not any(x for i, x in found.items() if i >= 4)
+
+
 def test_pieces(spark, docs, empty):
     import os
 

@@ -1,17 +1,21 @@
 """Personal data: fixed patterns, and terms that the corpus shows to reveal a protected entity.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by linear scans. Every distinct
-value of a base span is a protected entity. Terms (runs of letters and digits, lower case) within NEAR terms of
-a mention may disclose it. How strongly is estimated from the corpus:
+value of a base span is a protected entity. Terms (runs of letters and digits, lower case, outside base spans)
+anywhere in a document that mentions it may disclose it. How strongly is estimated from the corpus:
 
-    information of the entity   IC(e) = -ln P(e),            P(e) = contexts of e / documents
-    point-wise information      PMI(t, e) = ln(P(e|t) / P(e)), P(e|t) = contexts of e with t / documents with t
+    information of the entity   IC(e) = -ln P(e),            P(e) = documents with e / documents
+    point-wise information      PMI(t, e) = ln(P(e|t) / P(e)), P(e|t) = documents with t and e / documents with t
     disclosure                  PMI(t, e) / IC(e)             1: the term gives the entity away
 
-A context is the sequence of terms around a mention; equal ones count once, so that copies of a document are no
-evidence. With MIN_CONTEXTS different contexts or more, a disclosure of GENERALISE makes the term's mentions near
-that entity `quasi` spans (replaced by their class, a number or a word), one of REMOVE makes them `link` spans
-(removed). All counts cover all documents; nothing but sums of rows of bounded size is exchanged.
+Documents are counted by different texts, everywhere in these sums: copies weigh nothing, equal surroundings in
+different documents count. With MIN_CONTEXTS documents or more, a disclosure of GENERALISE makes all mentions of the
+term in documents with that entity `quasi` spans (replaced by their class, a number or a word), one of REMOVE makes
+them `link` spans (removed). Near copies are different texts: what only they share with an entity discloses it.
+
+All counts cover all documents. A term in more than n_e * P(e) ** (GENERALISE - 1) documents can't disclose e whatever
+it goes with: such pairs are left out before anything is summed, which changes no result. Documents whose entities
+are in fewer than MIN_CONTEXTS others are not read again.
 
 Edge cases: null and empty texts have no spans. Rows with a null doc_id, and rows that repeat a doc_id, are each
 answered (rows are told apart by a hash of their text). An empty table gives no rows. Other columns are ignored.
@@ -88,8 +92,8 @@ def _hash(values: list[str]) -> np.ndarray:
     return out
 
 
-def _terms_near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """For each span the bounds of the NEAR terms before and after it that touch no base span.
+def _free_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the terms that touch no base span.
 
     One pass over the text, then binary searches: time and memory grow with the text and its spans, however dense they are.
     """
@@ -101,44 +105,40 @@ def _terms_near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[t
     # Spans are in order of their starts: of those that start before a term's end, one at least must end after its start.
     at = np.searchsorted(low, end)
     free = (at == 0) | (high[at - 1] <= start)
-    start, end = start[free], end[free]
+    return start[free], end[free]
+
+
+def _terms_near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """For each span the bounds of the NEAR free terms before and after it. find() takes the terms of the whole text instead."""
+    start, end = _free_terms(text, spans)
     for a, _, b in spans:
         i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b))
         near = [*range(max(0, i - NEAR), i), *range(j, min(len(start), j + NEAR))]
         yield list(zip(start[near].tolist(), end[near].tolist()))
 
 
-def _lower(term: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
+def _entity(kind: int, value: str) -> str:
+    return f"{KINDS[kind]}:{value.lower() if kind == 0 else ''.join(c for c in value if c.isdigit() or c == '.')}"
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every document, and the terms near each mention: (entity, context, term, start, end)."""
-    mention = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    """Base spans of every document, and its entities, each once."""
     span = pa.struct([("a", pa.int32()), ("kind", pa.int32()), ("b", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_out, where, entities, contexts, terms, bounds = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
+            spans_out, values, per = [], [], []
+            for text in batch.column(2).to_pylist():
                 spans = base_spans(text) if text else []
                 spans_out.append([{"a": a, "kind": k, "b": b} for a, k, b in spans])
-                for (a, k, b), near in zip(spans, _terms_near(text, spans) if spans else ()):
-                    words = [_lower(text[x:y]) for x, y in near]
-                    for w, (x, y) in zip(words, near):
-                        where.append(row)
-                        entities.append(f"{KINDS[k]}:{text[a:b].lower() if k == 0 else ''.join(c for c in text[a:b] if c.isdigit() or c == '.')}")
-                        contexts.append(" ".join(words))
-                        terms.append(w)
-                        bounds.append((x, y))
-            mentions: list[list[dict]] = [[] for _ in spans_out]
-            if where:
-                for row, e, c, t, (x, y) in zip(where, *(tc.signed(_hash(v)).tolist() for v in (entities, contexts)), term_hashes(terms).tolist(), bounds):
-                    mentions[row].append({"entity": e, "context": c, "term": t, "a": x, "b": y})
+                own = {_entity(k, text[a:b]) for a, k, b in spans}
+                values.extend(sorted(own))
+                per.append(len(own))
+            entities = tc.list_array(tc.signed(_hash(values)) if values else np.zeros(0, np.int64), np.array(per, np.int64))
             tc.relax()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans_out, pa.list_(span)), pa.array(mentions, pa.list_(mention))], ["doc_id", "tag", "spans", "mentions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans_out, pa.list_(span)), entities], ["doc_id", "tag", "spans", "entities"])
 
-    schema = "doc_id long, tag long, spans array<struct<a: int, kind: int, b: int>>, mentions array<struct<entity: long, context: long, term: long, a: int, b: int>>"
+    schema = "doc_id long, tag long, spans array<struct<a: int, kind: int, b: int>>, entities array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").mapInArrow(run, schema)
 
 
@@ -147,18 +147,23 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return np.concatenate([tc.signed(w.hashes(5)) for w in tc.chunks(pa.array(terms, pa.string()), tc.WORD, tc.LOWER)])
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each term of the corpus is. Summed in each task first."""
+def document_frequencies(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, n): in how many different texts each term of the corpus is. Summed in each task first.
+
+    copies: (tag, m) of the texts that m > 1 rows have. Each of them counts 1 / m; rounding the sum gives the whole number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        shares: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(tc.signed(keys)), pa.array(n.astype(np.int64))], ["term", "n"])
+            keys, at = np.unique(np.concatenate(held), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(tc.signed(keys)), pa.array(np.bincount(at, np.concatenate(shares), len(keys)))], ["term", "n"])
 
         for batch in batches:
+            share = 1 / batch.column(1).to_numpy(zero_copy_only=False)
             for words in tc.chunks(batch.column(0), tc.WORD, tc.LOWER):
                 h, doc = words.hashes(5), words.doc_of()
                 order = np.lexsort((h, doc))
@@ -166,46 +171,95 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 held.append(h[new])
+                shares.append(share[words.row + doc[new]])
                 size += int(new.sum())
                 if size > 4_000_000:
                     yield flush()
-                    held, size = [], 0
+                    held, shares, size = [], [], 0
         if held:
             yield flush()
 
-    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    some = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("tag")).join(copies, "tag", "left")
+    some = some.select("text", F.coalesce("m", F.lit(1)).cast("double").alias("m"))
+    return some.mapInArrow(run, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
+
 
+def _text_terms(docs: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag, term): the different free terms of the texts named by tags, once for each row that has the text."""
 
-def disclosing(work: Workspace, docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, kind): the terms that disclose an entity; kind is the span kind they get."""
-    total = docs.count()
-    contexts = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = mentions.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_CONTEXTS)
-    pairs, contexts = work.save(pairs, "pairs"), work.save(contexts.where(F.col("n_e") >= MIN_CONTEXTS), "contexts")
-    # The corpus counts are the large side: they are cut to the pairs' terms before the sum is exchanged any further.
-    counts = work.save(document_frequencies(docs).join(pairs.select("term").distinct(), "term", "left_semi"), "counts")
-    p_e = F.col("n_e") / F.lit(float(max(total, 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                start, end = _free_terms(text, base_spans(text))
+                terms = list({text[a:b] for a, b in zip(start.tolist(), end.tolist())})
+                if terms:
+                    found = np.unique(term_hashes(terms))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), tag, np.int64)), pa.array(found)], ["tag", "term"])
+            tc.relax()
+
+    return docs.select(F.xxhash64("text").alias("tag"), "text").join(tags, "tag", "left_semi").mapInArrow(run, "tag long, term long")
+
+
+def _text_spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tag, more): the spans of all mentions of the wanted terms (tag, terms: array of term, kind) in each text."""
+    span = pa.struct([("a", pa.int32()), ("kind", pa.int32()), ("b", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = []
+            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kinds = {t["term"]: t["kind"] for t in terms}
+                start, end = (x.tolist() for x in _free_terms(text, base_spans(text)))
+                hashes = term_hashes([text[a:b] for a, b in zip(start, end)]).tolist() if start else []
+                more.append([{"a": a, "kind": kinds[h], "b": b} for a, b, h in zip(start, end, hashes) if h in kinds])
+            tc.relax()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more, pa.list_(span))], ["tag", "more"])
+
+    found = docs.select(F.xxhash64("text").alias("tag"), "text").join(wanted, "tag").select("tag", "text", "terms")
+    return found.mapInArrow(run, "tag long, more array<struct<a: int, kind: int, b: int>>").dropDuplicates(["tag"])
+
+
+def disclosing(work: Workspace, docs: DataFrame, scanned: DataFrame, mentions: DataFrame) -> DataFrame | None:
+    """(entity, term, kind): the terms that disclose an entity; kind is the span kind they get. mentions: (tag, entity), each once. None: there are none."""
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_CONTEXTS)
+    entities = work.save(entities, "entities")
+    most = entities.agg(F.max("n_e")).first()[0]
+    if not most:
+        return None
+    sizes = work.save(scanned.groupBy("tag").agg(F.count("*").alias("m")), "sizes")
+    total = sizes.count()
+    bound = lambda n_e: n_e * F.pow(n_e / F.lit(float(total)), F.lit(GENERALISE - 1)) * (1 + 1e-9)
+    every = document_frequencies(docs, sizes.where("m > 1")).where(F.col("n") >= MIN_CONTEXTS)
+    # Frequent terms are few (at most 100 times those of a text): they go before rows are dealt by term.
+    rare = F.col("n") <= bound(F.lit(float(most)))
+    counts = work.save(every.where(rare | (F.col("n") * 100 >= total)).select("term", "n", rare.alias("rare")), "counts")
+    named = work.save(mentions.join(entities, "entity"), "named")
+    terms = _text_terms(docs, named.select("tag").distinct()).join(F.broadcast(counts.where("NOT rare").select("term")), "term", "left_anti")
+    terms = work.save(terms.join(counts.where("rare").select("term", "n"), "term").distinct(), "terms")
+    pairs = named.join(terms, "tag").where(F.col("n") <= bound(F.col("n_e"))).groupBy("entity", "term", "n_e", "n").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_CONTEXTS)
+    p_e = F.col("n_e") / F.lit(float(total))
     share = F.least(F.col("n_te") / F.col("n"), F.lit(1.0))
-    judged = pairs.join(contexts, "entity").join(counts, "term").withColumn("disclosure", F.when(p_e < 1, F.log(share / p_e) / -F.log(p_e)))
+    judged = pairs.withColumn("disclosure", F.when(p_e < 1, F.log(share / p_e) / -F.log(p_e)))
     kind = F.when(F.col("disclosure") >= REMOVE, KINDS.index("link")).when(F.col("disclosure") >= GENERALISE, KINDS.index("quasi"))
-    return judged.select("entity", "term", kind.alias("kind")).where("kind IS NOT NULL")
+    return work.save(judged.select("entity", "term", kind.alias("kind")).where("kind IS NOT NULL"), "disclosing")
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, tag (hash of its text), spans (a, kind, b) by a and kind; base spans first of equals."""
     work = Workspace(spark, "personal")
     scanned = work.save(_scan(docs), "scanned")
-    mentions = work.save(scanned.select("doc_id", "tag", F.explode("mentions").alias("m")).select("doc_id", "tag", "m.*"), "mentions")
-    found = work.save(disclosing(work, docs, mentions), "disclosing")
-    # A term near several mentions: the stronger kind, once.
-    strongest = mentions.join(found, ["entity", "term"]).groupBy("doc_id", "tag", "a", "b").agg(F.max("kind").alias("kind"))
-    extra = strongest.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "kind", "b")).alias("more"))
-    extra = work.save(extra, "extra")
-    work.release()
-    x = extra.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "more")
-    joined = scanned.join(x, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
+    mentions = work.save(scanned.where(F.size("entities") > 0).select("tag", F.explode("entities").alias("entity")).distinct(), "mentions")
+    found = disclosing(work, docs, scanned, mentions)
     none = F.array().cast("array<struct<a: int, kind: int, b: int>>")
-    return joined.select("doc_id", "tag", F.array_sort(F.concat(F.coalesce("spans", none), F.coalesce("more", none))).alias("spans"))
+    if found is None:
+        return scanned.select("doc_id", "tag", F.array_sort("spans").alias("spans"))
+    # A term of several entities of a document: the stronger kind.
+    wanted = mentions.join(found, "entity").groupBy("tag", "term").agg(F.max("kind").alias("kind"))
+    wanted = work.save(wanted.groupBy("tag").agg(F.collect_list(F.struct("term", "kind")).alias("terms")), "wanted")
+    extra = work.save(_text_spans(docs, wanted), "extra")
+    work.release()
+    joined = scanned.join(extra, "tag", "left")
+    return joined.select("doc_id", "tag", F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"))
 
 
 def _mask(text: pa.Array, spans: pa.Array) -> pa.Array:
