@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import time
 import zlib
@@ -266,6 +267,21 @@ def test_pieces(spark, docs, empty):
         assert e.encode_long(unit, 1) == e.encode_many([unit], 1)[0]
 
 
+def test_pieces_each_occurrence_draws():
+    """A word has more than four segmentations; every occurrence is as merged alone."""
+    if not os.path.exists(pieces.MODEL):
+        pytest.skip("no vocabulary here")
+    e = pieces.Encoder(pieces.Vocabulary.load())
+    word = " the thering anerthionst " + "anerthionst" * 6
+    texts, keys = [word] * 1500, list(range(1500))
+    units = pieces._UNIT.findall(" " + word)
+    found = [x.tobytes() for x in e.encode(texts, keys)]
+    for k in range(0, 1500, 50):
+        assert found[k] == b"".join(e.encode_long(u, int(x)) for u, x in zip(units, e.keys_of(k, len(units))))
+    assert len(set(found)) > 1000
+    assert len({x.tobytes() for x in e.encode(["thering"] * 1500, keys)}) > 4
+
+
 def test_url_rules(spark):
     urls = ["http://A.Org/x", "https://www.example.org/es/1", "http://example.org/en/12?q", "http://x.com/fr/", "x.com/de/", None, "ftp://evilexample.org/es/", "http://com/de/#a", "http://a.net", "http://a.org?x/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

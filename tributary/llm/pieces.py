@@ -3,14 +3,14 @@
 The vocabulary is that of a merge-type (BPE) model file; nothing is trained. Encoding starts from single
 characters (a space is the piece mark, one is put before a text that has any character) and takes, again
 and again, the adjacent pair whose joined piece has the best score, the leftmost of equals. Every candidate
-merge is first put to a keyed hash of (seed, variant, unit, its start, middle and end): below `dropout` of the
-hash space it is skipped for good. With dropout 0 the result is that of the public library.
+merge is first put to a keyed hash of (seed, document key, the unit's place in the document, the merge's start, middle
+and end in the unit): below `dropout` of the hash space it is skipped for good. Each occurrence of a unit draws its
+own. With dropout 0 the result is that of the public library.
 
 No piece joins a character with a following space, so texts are cut into units (spaces and what follows up to
-the next space or line feed), which are encoded independently. An occurrence of a unit takes one of VARIANTS
-segmentations, chosen by a keyed hash of (seed, document key, place in the document), so that texts vary and
-units can still be kept from one to the next. Units up to LONG characters are merged together in numpy, all at
-once; longer ones, of any length, one by one with a heap.
+the next space or line feed), which are encoded independently. What a unit gives without skips is kept from one to
+the next, with the merges taken: an occurrence that skips none of these gives the same. All others are merged anew. Units up to LONG characters are merged together in numpy, all at once; longer ones, of any length, one by one
+with a heap.
 
 Decoding joins the pieces' bytes and takes the first space away. Characters without a piece, and the piece mark
 itself where it stands in a text, become byte pieces: every text decodes to itself.
@@ -21,7 +21,9 @@ KEPT units besides one batch. Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -34,7 +36,7 @@ from . import textcore as tc
 from .storage import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 4
+DROPOUT, SEED = 0.1, 20240229
 LONG, KEPT = 48, 250_000
 MARK = "▁"
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
@@ -88,16 +90,20 @@ class Vocabulary:
         return cls(out, chars, bytes_, keys.astype(np.uint64), joined.astype(np.int32), rank.astype(np.int32))
 
 
+def _place(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of a candidate's place in its unit."""
+    return tc.mix(start.astype(np.uint64) * _A ^ mid.astype(np.uint64) * _B ^ end.astype(np.uint64) * _C)
+
+
 @dataclass
 class Encoder:
     vocabulary: Vocabulary
     dropout: float = DROPOUT
     seed: int = SEED
-    variants: int = VARIANTS
-    known: list[dict[str, bytes]] = field(default_factory=list, repr=False)
+    known: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        self.known = [{} for _ in range(self.variants)]
+        self._forget()
         self.symbol = np.full(0x110000, -1, np.int32)
         for c, i in self.vocabulary.chars.items():
             self.symbol[ord(c)] = i
@@ -105,7 +111,7 @@ class Encoder:
         self.maybe[(self.vocabulary.pairs * _A >> np.uint64(44)).astype(np.int64)] = True
         self.limit = np.uint64(min(int(self.dropout * 2**64), 2**64 - 1))
 
-    def _rank(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _rank(self, left: np.ndarray, right: np.ndarray, key: np.ndarray | None, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place by score of each candidate (never: no such piece, or skipped) and the id it joins to."""
         v = self.vocabulary
         pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
@@ -113,21 +119,16 @@ class Encoder:
         pair = pair[some]
         at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
         good = v.pairs[at] == pair
-        if self.limit:
-            place = start[some].astype(np.uint64) * _A ^ mid[some].astype(np.uint64) * _B ^ end[some].astype(np.uint64) * _C
-            good &= tc.mix(key[some] ^ tc.mix(place)) >= self.limit
+        if self.limit and key is not None:
+            good &= tc.mix(key[some] ^ _place(start[some], mid[some], end[some])) >= self.limit
         rank, joined = np.full(len(left), _NEVER, np.int32), np.zeros(len(left), np.int32)
         rank[some[good]], joined[some[good]] = v.rank[at[good]], v.joined[at[good]]
         return rank, joined
 
-    def _offset(self, variant: int) -> int:
-        return (self.seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F) % 2**64
-
-    def _key(self, unit: str, variant: int) -> int:
-        codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        place = np.arange(1, len(codes) + 1, dtype=np.uint64)
-        total = (int(tc.mix(codes * _A + place * _B).sum()) + self._offset(variant)) % 2**64
-        return int(tc.mix(np.array([total], np.uint64))[0])
+    def _forget(self) -> None:
+        """No unit is known: known has their numbers; plain, first, count and taken what they give without skips and the merges taken."""
+        self.known, self.plain = {}, []
+        self.first, self.count, self.taken = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def _out(self, unit: str, symbols: list[int], starts: list[int]) -> bytes:
         ids: list[int] = []
@@ -139,10 +140,10 @@ class Encoder:
                 ids.extend(self.vocabulary.bytes_[list(unit[a].encode())].tolist())
         return np.array(ids, np.int32).tobytes()
 
-    def encode_long(self, unit: str, variant: int) -> bytes:
-        """One unit of any length, with a heap of candidates."""
+    def encode_long(self, unit: str, key: int | None) -> bytes:
+        """One unit of any length, with a heap of candidates. key: of the occurrence; None: no skips."""
         sym = self.symbol[np.frombuffer(unit.encode("utf-32-le"), np.uint32)].tolist()  # below 0: no piece
-        n, key = len(unit), np.array([self._key(unit, variant)], np.uint64)
+        n, keys = len(unit), None if key is None else np.array([key], np.uint64)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
         heap: list[tuple[int, int, int, int, int]] = []
@@ -154,7 +155,7 @@ class Encoder:
             a = np.array(i)
             m = np.array([nxt[x] for x in i])
             e = np.array([nxt[nxt[x]] for x in i])
-            r, j = self._rank(np.array([sym[x] for x in i]), np.array([sym[x] for x in m.tolist()]), np.repeat(key, len(i)), a, m, e)
+            r, j = self._rank(np.array([sym[x] for x in i]), np.array([sym[x] for x in m.tolist()]), None if keys is None else np.repeat(keys, len(i)), a, m, e)
             for k in np.flatnonzero(r != _NEVER):
                 heapq.heappush(heap, (int(r[k]), i[k], int(m[k]), int(e[k]), int(j[k])))
 
@@ -170,19 +171,21 @@ class Encoder:
         at = [i for i in range(n) if alive[i]]
         return self._out(unit, [sym[i] for i in at], at)
 
-    def encode_many(self, units: list[str], variant: int) -> list[bytes]:
-        """Units of at most LONG characters, all merged side by side."""
+    def encode_many(self, units: list[str], key: np.ndarray | int | None, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+        """Units of at most LONG characters, all merged side by side. key: of the occurrences; None: no skips. taken gets (unit, place hash) of the merges."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         width = int(sizes.max())
         count = len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        flat, codes = self.symbol[codes], codes.astype(np.uint64)
+        flat = self.symbol[codes]
         row = np.repeat(np.arange(count), sizes)
         first = np.cumsum(sizes) - sizes
         col = np.arange(len(flat)) - first[row]
-        part = tc.mix(codes * _A + (col + 1).astype(np.uint64) * _B)
-        key = np.add.reduceat(part, first) + np.uint64(self._offset(variant))
-        key = tc.mix(key)
+        keys = None if key is None else np.broadcast_to(np.asarray(key, np.uint64), count)
+
+        def put(t: np.ndarray, a: np.ndarray, m: np.ndarray, e: np.ndarray) -> None:
+            rank[t, a], joined[t, a] = self._rank(sym[t, a], sym[t, m], None if keys is None else keys[t], a, m, e)
+
         sym = np.full((count, width + 1), -1, np.int32)
         sym[row, col] = flat
         nxt = np.tile(np.arange(1, width + 2, dtype=np.int32), (count, 1))
@@ -191,7 +194,7 @@ class Encoder:
         joined = np.zeros((count, width), np.int32)
         inner = col < sizes[row] - 1
         r, c = row[inner], col[inner]
-        rank[r, c], joined[r, c] = self._rank(sym[r, c], sym[r, c + 1], key[r], c, c + 1, c + 2)
+        put(r, c, c + 1, c + 2)
         todo = np.arange(count)
         while len(todo):
             best = rank[todo].argmin(1)
@@ -201,6 +204,8 @@ class Encoder:
                 break
             m = nxt[todo, i]
             e = nxt[todo, m]
+            if taken is not None:
+                taken.append((todo, _place(i, m, e)))
             sym[todo, i] = joined[todo, i]
             nxt[todo, i] = e
             sym[todo, m] = -2
@@ -210,11 +215,11 @@ class Encoder:
             prv[todo[inside], e[inside]] = i[inside]
             rank[todo, i] = _NEVER
             t, a, b = todo[inside], i[inside], e[inside]
-            rank[t, a], joined[t, a] = self._rank(sym[t, a], sym[t, b], key[t], a, b, nxt[t, b])
+            put(t, a, b, nxt[t, b])
             before = prv[todo, i]
             has = before >= 0
             t, a, b = todo[has], before[has], i[has]
-            rank[t, a], joined[t, a] = self._rank(sym[t, a], sym[t, b], key[t], a, b, nxt[t, b])
+            put(t, a, b, nxt[t, b])
         left = sym[row, col]
         stays = left != -2
         row, col, left = row[stays], col[stays], left[stays]
@@ -231,17 +236,35 @@ class Encoder:
             out[k] = self._out(units[k], left[x:y].tolist(), col[x:y].tolist())
         return out
 
-    def _learn(self, variant: int, missing: set[str]) -> None:
-        units = list(missing)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        order = np.argsort(sizes, kind="stable").tolist()
-        short = int((sizes <= LONG).sum())
-        known = self.known[variant]
-        for k in order[short:]:
-            known[units[k]] = self.encode_long(units[k], variant)
+    def _learn(self, units: list[str]) -> None:
+        """Keep what units give without skips. Long ones get no merges: they are merged anew where skips are drawn."""
+        units = sorted(units, key=len)
+        short = bisect.bisect_right(units, LONG, key=len)
         for i in range(0, short, 20_000):
-            part = [units[k] for k in order[i : min(short, i + 20_000)]]
-            known.update(zip(part, self.encode_many(part, variant)))
+            part, taken = units[i : min(short, i + 20_000)], []
+            self.plain.extend(self.encode_many(part, None, taken if self.limit else None))
+            t, place = (np.concatenate(x) for x in zip(*taken)) if taken else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            self._append(np.bincount(t, minlength=len(part)), place[np.argsort(t, kind="stable")])
+        for unit in units[short:]:
+            self.plain.append(b"" if self.limit else self.encode_long(unit, None))
+        self._append(np.zeros(len(units) - short, np.int64), np.zeros(0, np.uint64))
+        self.known.update(zip(units, range(len(self.known), len(self.plain))))
+
+    def _append(self, count: np.ndarray, place: np.ndarray) -> None:
+        self.first = np.concatenate([self.first, len(self.taken) + np.cumsum(count) - count])
+        self.count, self.taken = np.concatenate([self.count, count]), np.concatenate([self.taken, place])
+
+    def _skips(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences (number of the unit, key) skip a merge that the unit takes without skips: the others change nothing."""
+        count = self.count[at]
+        ends = np.cumsum(count)
+        place = self.taken[np.repeat(self.first[at] - ends + count, count) + np.arange(int(count.sum()))]
+        total = np.concatenate([[0], np.cumsum(tc.mix(np.repeat(keys, count) ^ place) < self.limit)])
+        return total[ends] > total[ends - count]
+
+    def keys_of(self, key: int, n: int) -> np.ndarray:
+        """Keys of the n units of a document."""
+        return tc.mix(tc.mix(np.arange(n, dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64)))
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
         """Ids of some texts. A group of texts of about two chunks is looked up together."""
@@ -252,32 +275,31 @@ class Encoder:
             while j < len(texts) and (j == i or size < 2 * tc.CHUNK_BYTES):
                 size += len(texts[j] or "")
                 j += 1
-            if sum(map(len, self.known)) > KEPT:
-                for d in self.known:
-                    d.clear()
-            work, missing = [], [set() for _ in self.known]
-            for text, key in zip(texts[i:j], keys[i:j]):
-                units = np.array(_UNIT.findall(" " + text) if text else [], object)
-                which = tc.mix(tc.mix(np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64))) % np.uint64(self.variants)
-                got = np.empty(len(units), object)
-                late = []
-                for v, known in enumerate(self.known):
-                    at = np.flatnonzero(which == v)
-                    own = units[at].tolist()
-                    have = list(map(known.get, own))
-                    if None in have:
-                        missing[v].update([u for u, x in zip(own, have) if x is None])
-                        late.append((v, at, own))
-                    else:
-                        got[at] = have
-                work.append((text, got, late))
-            for v, some in enumerate(missing):
-                if some:
-                    self._learn(v, some)
-            for text, got, late in work:
-                for v, at, own in late:
-                    got[at] = list(map(self.known[v].__getitem__, own))
-                out.append(None if text is None else np.frombuffer(b"".join(got.tolist()), np.int32))
+            if len(self.known) > KEPT:
+                self._forget()
+            own = [_UNIT.findall(" " + t) if t else [] for t in texts[i:j]]
+            units = list(itertools.chain.from_iterable(own))
+            missing = set(units) - self.known.keys()
+            if missing:
+                self._learn(list(missing))
+            numbers = list(map(self.known.__getitem__, units))
+            got = list(map(self.plain.__getitem__, numbers))
+            if self.limit and units:
+                occurrence = np.concatenate([self.keys_of(k, len(u)) for k, u in zip(keys[i:j], own)])
+                at = np.array(numbers, np.int64)
+                again = np.concatenate([k + np.flatnonzero(self._skips(at[k : k + 50_000], occurrence[k : k + 50_000])) for k in range(0, len(at), 50_000)])
+                sizes = np.fromiter(map(len, units), np.int64, len(units))
+                again = again[np.argsort(sizes[again], kind="stable")]
+                for k in range(0, len(again), 20_000):
+                    part = again[k : k + 20_000]
+                    for x, ids in zip(part.tolist(), self.encode_many([units[x] for x in part.tolist()], occurrence[part])):
+                        got[x] = ids
+                for x in np.flatnonzero(sizes > LONG).tolist():
+                    got[x] = self.encode_long(units[x], int(occurrence[x]))
+            done = 0
+            for text, u in zip(texts[i:j], own):
+                out.append(None if text is None else np.frombuffer(b"".join(got[done : done + len(u)]), np.int32))
+                done += len(u)
             i = j
         return out
 
@@ -294,13 +316,13 @@ def _list_of(ids: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
-def encoder(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+def encoder(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
     """A column function (text, key) -> ids."""
     state: dict[str, Encoder] = {}
 
     def encode(text: pa.Array, key: pa.Array) -> pa.Array:
         if "encoder" not in state:
-            state["encoder"] = Encoder(vocabulary, dropout, seed, variants)
+            state["encoder"] = Encoder(vocabulary, dropout, seed)
         ids = state["encoder"].encode(text.to_pylist(), [x or 0 for x in key.to_pylist()])
         out = _list_of(ids)
         tc.relax()
@@ -318,13 +340,13 @@ def decoder(vocabulary: Vocabulary):
     return F.arrow_udf(decode, "string").asNondeterministic()
 
 
-def round_tripper(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+def round_tripper(vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
     """A column function (text, key) -> struct of ids and what they decode to, in one worker."""
     state: dict[str, Encoder] = {}
 
     def both(text: pa.Array, key: pa.Array) -> pa.Array:
         if "encoder" not in state:
-            state["encoder"] = Encoder(vocabulary, dropout, seed, variants)
+            state["encoder"] = Encoder(vocabulary, dropout, seed)
         ids = state["encoder"].encode(text.to_pylist(), [x or 0 for x in key.to_pylist()])
         back = pa.array([None if x is None else decode_ids(vocabulary, x.tolist()) for x in ids], pa.string())
         out = pa.StructArray.from_arrays([_list_of(ids), back], ["ids", "decoded"])
