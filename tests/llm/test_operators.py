@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import os
+import random
 import re
 import time
 import zlib
@@ -107,6 +108,16 @@ def test_language(spark, docs, empty, data):
     assert language.with_language(spark, docs, empty).where("NOT language.rejected").count() == 0
 
 
+def test_language_rejects_random_letters(spark, data):
+    """Where the calibration texts are all told rightly there still is a bound, and random letters fall below it."""
+    real = spark.read.parquet(f"{data}/documents.parquet")
+    draw = random.Random(5)
+    noise = spark.createDataFrame([(i, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))) for i in range(50)], "doc_id long, text string")
+    model = language.fit(real)
+    assert model.bound > 0.25
+    assert noise.select(language.detector(model)(F.col("text")).alias("x")).where("x.rejected").count() >= 45
+
+
 def test_hot_doc_id_is_taught_once(spark):
     """One doc_id with most of the rows stays within the training bounds of both classifiers."""
     rows = [(1 if i % 2 else i, f"text number {i} of the hot one", "en") for i in range(2000)]

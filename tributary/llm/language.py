@@ -7,9 +7,10 @@ layers are trained together by minibatch stochastic gradient descent.
 Calibration. A part of the training rows (by hash) is kept from the fit. On it, and on its first 1, 3 and 10
 words as texts of their own, a temperature is found for the softmax by number of features (LENGTHS), with
 smoothed targets, so that a score tells how often such a text is right. The rejection bound is the least
-score at which what is accepted is right in at least PRECISION of the cases, but never one that rejects more
-than MAX_REJECTED of the whole texts kept from the fit. A text without
-letters is always rejected (`und`, score 0).
+score at which what is accepted is right in at least PRECISION of the cases, whatever this rejects, and at least
+the least score of a right text among the whole texts kept from the fit: a text less sure than any of these
+(key mash, random letters) is rejected. With no such score all texts are. A language never taught that shares its
+letters with a taught one can score higher. A text without letters is always rejected (`und`, score 0).
 
 Bound: at most PER_LANG labelled documents of each of the MAX_LANGS most frequent languages are taught, those
 with the least hash of their id. Everything else covers all rows and whole texts.
@@ -35,7 +36,7 @@ from .storage import ship
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 PER_LANG, MAX_LANGS, SALTS = 1280, 200, 64
-PRECISION, MAX_REJECTED = 0.98, 0.005
+PRECISION = 0.98
 #: Bounds between the numbers of features that have a temperature of their own.
 LENGTHS = (24, 96, 384)
 #: Words of the texts' heads that are calibrated on besides the whole texts.
@@ -211,8 +212,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, epochs: int = 12, least_steps
     top, good = p.max(1), p.argmax(1) == y[whole]
     order = np.argsort(-top, kind="stable")
     precise = np.flatnonzero(np.cumsum(good[order]) / np.arange(1, len(top) + 1) >= PRECISION)
-    last = max(precise[-1] if len(precise) else 0, int(np.ceil(len(top) * (1 - MAX_REJECTED))) - 1)
-    return LanguageModel(langs, weights, bias, temperature, 0.0 if last >= len(top) - 1 else float(top[order][last]))
+    bound = max(float(top[order][precise[-1]]), float(top[good].min())) if len(precise) else np.inf
+    # A hair lower: the same text's score is summed in another order later.
+    return LanguageModel(langs, weights, bias, temperature, bound - 1e-6)
 
 
 def detector(model: LanguageModel | None):
