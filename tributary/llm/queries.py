@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.ORACLE,
+    "op2_substring_dedup": substring.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
 }
