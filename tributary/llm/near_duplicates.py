@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles (words split at ASCII white space; a shorter text is one
 shingle of all its words). Two documents are linked if their sets' Jaccard similarity is THRESHOLD or more.
 
-1. Equal sets are one class, known by its least doc_id. All that follows works on classes.
+1. Equal sets are one class, represented by its row of the least doc_id. All that follows works on classes.
 2. Band and row counts are chosen for the target recall at the threshold. Classes are exchanged on band
    hashes; those that share a band are candidates. Candidate components put classes that can be linked together.
 3. Components are dealt into blocks of bounded size, large ones over several. The pairs of blocks that share
@@ -15,9 +15,11 @@ shingle of all its words). Two documents are linked if their sets' Jaccard simil
 Nothing is capped: a group of any size is many blocks. The only links that can be missed are those that share
 no band, as the recall says.
 
-Edge cases: null and empty texts have no shingles, no links and are a class each. Rows with a null doc_id are
-left out. Of rows that repeat a doc_id, one is taken (with the least set digest): the result has one row for
-each doc_id. Other columns are ignored, whatever their names.
+Edge cases: every row is answered. Null and empty texts have no shingles, no links and are a class each. Rows that
+repeat a doc_id are documents of their own: with one text they are copies of each other. Rows with a null doc_id
+take part; a class has the least doc_id of its rows, null if none has one. Of equal doc_ids the least hash of the
+text comes first. A very long text is one chunk of a worker's memory and one set of a unit. An empty table gives no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import components
-from .storage import Workspace
+from .storage import Workspace, measured, packed
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Bounds of a block.
@@ -97,19 +99,19 @@ def _band_hashes(values: np.ndarray, counts: np.ndarray, bands: int, rows: int)
 def _signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in tc.chunks(batch.column(1)):
+            for words in tc.chunks(batch.column(2)):
                 values, counts = _sets(words, shingle)
                 one, two = _digests(values, counts)
                 per = np.where(counts > 0, bands, 0)
                 hashes = _band_hashes(values, counts, bands, rows).ravel() if len(values) else np.zeros(0, np.uint64)
-                ids = batch.column(0)[words.row : words.row + words.docs]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(tc.signed(one)), pa.array(tc.signed(two)), pa.array(counts.astype(np.int64)), tc.list_array(tc.signed(hashes), per)], ["doc_id", "one", "two", "n", "bands"])
+                ids, tags = (batch.column(i)[words.row : words.row + words.docs] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, tags, pa.array(tc.signed(one)), pa.array(tc.signed(two)), pa.array(counts.astype(np.int64)), tc.list_array(tc.signed(hashes), per)], ["doc_id", "tag", "one", "two", "n", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, one long, two long, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag long, one long, two long, n long, bands array<long>")
 
 
 def _with_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """rows: rep, one, block, copies, bands, text. The same with the set of the text; rows whose text has another set go."""
+    """rows: node, one, block, copies, bands, text. The same with the set of the text; rows whose text has another set go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,10 +120,10 @@ def _with_sets(rows: DataFrame, shingle: int) -> DataFrame:
                 values, counts = _sets(words, shingle)
                 good = pa.array(tc.signed(_digests(values, counts)[0]) == known[words.row : words.row + words.docs])
                 part = [batch.column(i)[words.row : words.row + words.docs] for i in (0, 2, 3, 4)]
-                out = pa.RecordBatch.from_arrays([*part, tc.list_array(tc.signed(values), counts)], ["rep", "block", "copies", "bands", "shingles"])
+                out = pa.RecordBatch.from_arrays([*part, tc.list_array(tc.signed(values), counts)], ["node", "block", "copies", "bands", "shingles"])
                 yield out.filter(good)
 
-    return rows.mapInArrow(run, "rep long, block long, copies long, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(run, "node long, block long, copies long, bands array<long>, shingles array<long>")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -146,11 +148,11 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarr
 
 
 def _verify(threshold: float):
-    """Links among the classes of one unit: (rep, links, root)."""
+    """Links among the classes of one unit: (node, links, root)."""
 
     def run(unit: pa.Table) -> pa.Table:
-        unit = unit.combine_chunks().sort_by([("block", "ascending"), ("rep", "ascending")])
-        rep, block, copies = (unit[c].to_numpy() for c in ("rep", "block", "copies"))
+        unit = unit.combine_chunks().sort_by([("block", "ascending"), ("node", "ascending")])
+        rep, block, copies = (unit[c].to_numpy() for c in ("node", "block", "copies"))
         sizes = unit["bands"].combine_chunks()
         bands = sizes.flatten().to_numpy().reshape(len(rep), -1)
         col = unit["shingles"].combine_chunks()
@@ -188,57 +190,82 @@ def _verify(threshold: float):
                 break
         some = np.flatnonzero(links > 0)
         tc.relax()
-        return pa.table({"rep": pa.array(rep[some]), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(rep[root[some]])})
+        return pa.table({"node": pa.array(rep[some]), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(rep[root[some]])})
 
     return run
 
 
 def link(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
-    """One row for each doc_id: doc_id, copy_of (least doc_id with the same shingle set), class_id (least doc_id
-    that links lead to), n_links (other documents of at least the threshold's similarity)."""
-    work = Workspace(spark, "near")
+    """One row for each row of docs: doc_id, tag (hash of the text), copy_of (least doc_id with the same shingle set),
+    class_id (least doc_id that links lead to), n_links (other rows of at least the threshold's similarity) and class_key
+    (tells classes apart also where they have no doc_id or share one; null without shingles)."""
+    with Workspace(spark, "near") as work:
+        return _link(work, docs, threshold, shingle, recall)
+
+
+def _link(work: Workspace, docs: DataFrame, threshold: float, shingle: int, recall: float) -> DataFrame:
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    every = _signatures(docs, shingle, bands, rows).groupBy("doc_id").agg(F.min(F.struct("one", "two", "n", "bands")).alias("s")).select("doc_id", "s.*")
-    every = work.save(every, "signatures")
-    reps = every.where("n > 0").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n", "bands")).alias("s"), F.count("*").alias("copies"))
-    reps = work.save(reps.select(F.col("s.doc_id").alias("rep"), "one", "two", "s.n", "s.bands", "copies"), "reps")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    every = work.save(_signatures(docs, shingle, bands, rows), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n", "bands")).alias("s")
+    reps = every.where("n > 0").groupBy("one", "two").agg(least, F.count("*").alias("copies"))
+    # A class is known by a number that is given once, in a written table.
+    reps = work.save(reps.select(F.monotonically_increasing_id().alias("node"), F.col("s.doc_id").alias("rep"), F.col("s.tag").alias("tag"), "one", "two", "s.n", "s.bands", "copies"), "reps")
     work.release()
 
-    entries = reps.select("rep", F.explode("bands").alias("key"))
-    keys = work.save(entries.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("m")).where("m > 1").select("key", "low"), "keys")
+    entries = reps.select("node", F.explode("bands").alias("key"))
+    keys = work.save(entries.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").select("key", "low"), "keys")
     members = work.save(entries.join(keys, "key"), "members")
     work.release()
-    comp = components(work, members.select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct(), "candidate")
-    sized = work.save(comp.select(F.col("node").alias("rep"), "label").join(reps.select("rep", "n"), "rep"), "sized")
+    comp = components(work, members.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "candidate")
+    sized = work.save(comp.select("node", "label").join(reps.select("node", "n"), "node"), "sized")
     # A large component has blocks of its own; small ones share blocks.
     parts = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS))
     totals = work.save(sized.groupBy("label").agg(parts.alias("parts"), F.sum("n").alias("sum_n"), F.count("*").alias("m")), "totals")
     whole = totals.agg(F.coalesce(F.greatest(F.ceil(F.sum("sum_n") / BLOCK_SHINGLES), F.ceil(F.sum("m") / BLOCK_DOCS)), F.lit(1))).first()[0]
-    own = F.xxhash64(F.lit("large"), "label", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    own = F.xxhash64(F.lit("large"), "label", F.pmod(F.xxhash64("node"), F.col("parts")))
     shared = F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("label"), F.lit(max(1, 2 * whole))))
-    assigned = work.save(sized.join(totals.select("label", "parts"), "label").select("rep", F.when(F.col("parts") > 1, own).otherwise(shared).alias("block")), "assigned")
+    assigned = work.save(sized.join(totals.select("label", "parts"), "label").select("node", F.when(F.col("parts") > 1, own).otherwise(shared).alias("block")), "assigned")
 
-    met = work.save(members.select("key", "rep").join(assigned, "rep").select("key", "block").distinct(), "met")
+    met = work.save(members.select("key", "node").join(assigned, "node").select("key", "block").distinct(), "met")
     pairs = met.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
     pairs = work.save(pairs.withColumn("unit", F.xxhash64("a", "b")), "pairs")
-    wanted = assigned.join(reps.select("rep", "one", "copies", "bands"), "rep")
-    sets = work.save(_with_sets(docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "one", "block", "copies", "bands", "text"), shingle).dropDuplicates(["rep"]), "sets")
+    wanted = assigned.join(reps.select("node", "rep", F.col("tag").alias("rep_tag"), "one", "copies", "bands"), "node")
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))).select("node", "one", "block", "copies", "bands", "text")
+    sets = work.save(_with_sets(found, shingle).dropDuplicates(["node"]), "sets")
     work.drop("keys", "members", "met", "sized", "totals")
     work.release()
     sides = pairs.select(F.col("a").alias("block"), "unit").unionByName(pairs.where("a <> b").select(F.col("b").alias("block"), "unit"))
-    units = sets.join(sides, "block").select("unit", "block", "rep", "copies", "bands", "shingles")
-    found = work.save(units.groupBy("unit").applyInArrow(_verify(threshold), "rep long, links long, root long"), "found")
+    units = sets.join(sides, "block").select("unit", "block", "node", "copies", "bands", "shingles")
+    found = work.save(units.groupBy("unit").applyInArrow(_verify(threshold), "node long, links long, root long"), "found")
     work.drop("sets", "pairs", "assigned")
     work.release()
-    final = components(work, found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "final").select(F.col("node").alias("rep"), "label")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = reps.select("rep", "one", "two", "copies").join(counts, "rep", "left").join(final, "rep", "left")
-    classes = work.save(classes.select("one", "two", "rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    linked = every.where("n > 0").select("doc_id", "one", "two").join(classes, ["one", "two"]).select("doc_id", F.col("rep").alias("copy_of"), "class_id", "n_links")
-    alone = every.where("n = 0").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    final = components(work, found.select(F.col("node").alias("u"), F.col("root").alias("v")), "final").select("node", "label")
+    first = final.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("low"))
+    final = work.save(final.join(first, "label"), "labels")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = reps.select("node", "rep", "one", "two", "copies").join(counts, "node", "left").join(final, "node", "left")
+    low = F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("low"))
+    classes = work.save(classes.select("one", "two", "rep", low.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "node").alias("class_key")), "classes")
+    linked = every.where("n > 0").select("doc_id", "tag", "one", "two").join(classes, ["one", "two"]).select("doc_id", "tag", F.col("rep").alias("copy_of"), "class_id", "n_links", "class_key")
+    alone = every.where("n = 0").select("doc_id", "tag", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_key"))
     return linked.unionByName(alone)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with one row of each class: that of the least doc_id, then of the least hash of the text, then of the least
+    row as JSON. Rows without a word are a class each and stay. The result is the same in every run."""
+    with Workspace(spark, "keep_one") as work:
+        found = link(spark, docs).where("class_key IS NOT NULL").groupBy("class_key", "doc_id", "tag").agg(F.count("*").alias("n"))
+        first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n")).alias("s"))
+        first = work.save(first.select(F.col("s.doc_id").alias("first_id"), F.col("s.tag").alias("first_tag"), "s.n"), "first")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"))
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag"))
+    single = rows.where("has_words").join(first.where("n = 1"), is_first, "left_semi").select("row")
+    repeated = rows.where("has_words").join(measured(first.where("n > 1"), 32), is_first, "left_semi")
+    repeated = repeated.groupBy("id", "tag").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(repeated).unionByName(rows.where("NOT has_words").select("row")).select("row.*")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "copy_of", "class_id", "n_links")

@@ -17,8 +17,10 @@ All counts cover all documents. A term in more than n_e * P(e) ** (GENERALISE -
 it goes with: such pairs are left out before anything is summed, which changes no result. Documents whose entities
 are in fewer than MIN_CONTEXTS others are not read again.
 
-Edge cases: null and empty texts have no spans. Rows with a null doc_id, and rows that repeat a doc_id, are each
-answered (rows are told apart by a hash of their text). An empty table gives no rows. Other columns are ignored.
+Edge cases: null and empty texts have no spans; null texts stay null when masked. Rows with a null doc_id, and rows
+that repeat a doc_id, are each answered (rows are told apart by a hash of their text). A very long text costs time and
+memory in proportion to it. A term of several entities gets the stronger kind; of spans with one start, base ones come
+first. An empty table gives no rows. Other columns are ignored, whatever their names, and sanitise keeps them.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .storage import Workspace, ship
+from .storage import BROADCAST_BYTES, Workspace, measured, packed
 
 KINDS = ("email", "ip", "card", "phone", "quasi", "link")
 NEAR, MIN_CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.8, 0.95
@@ -179,7 +181,7 @@ def document_frequencies(docs: DataFrame, copies: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    some = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("tag")).join(copies, "tag", "left")
+    some = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("tag")).join(measured(copies, 32), "tag", "left")
     some = some.select("text", F.coalesce("m", F.lit(1)).cast("double").alias("m"))
     return some.mapInArrow(run, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
@@ -197,7 +199,7 @@ def _text_terms(docs: DataFrame, tags: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), tag, np.int64)), pa.array(found)], ["tag", "term"])
             tc.relax()
 
-    return docs.select(F.xxhash64("text").alias("tag"), "text").join(tags, "tag", "left_semi").mapInArrow(run, "tag long, term long")
+    return docs.select(F.xxhash64("text").alias("tag"), "text").join(measured(tags, 16), "tag", "left_semi").mapInArrow(run, "tag long, term long")
 
 
 def _text_spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,14 +229,15 @@ def disclosing(work: Workspace, docs: DataFrame, scanned: DataFrame, mentions: D
     if not most:
         return None
     sizes = work.save(scanned.groupBy("tag").agg(F.count("*").alias("m")), "sizes")
+    copies = work.save(sizes.where("m > 1"), "copies")
     total = sizes.count()
     bound = lambda n_e: n_e * F.pow(n_e / F.lit(float(total)), F.lit(GENERALISE - 1)) * (1 + 1e-9)
-    every = document_frequencies(docs, sizes.where("m > 1")).where(F.col("n") >= MIN_CONTEXTS)
+    every = document_frequencies(docs, copies).where(F.col("n") >= MIN_CONTEXTS)
     # Frequent terms are few (at most 100 times those of a text): they go before rows are dealt by term.
     rare = F.col("n") <= bound(F.lit(float(most)))
     counts = work.save(every.where(rare | (F.col("n") * 100 >= total)).select("term", "n", rare.alias("rare")), "counts")
     named = work.save(mentions.join(entities, "entity"), "named")
-    terms = _text_terms(docs, named.select("tag").distinct()).join(F.broadcast(counts.where("NOT rare").select("term")), "term", "left_anti")
+    terms = _text_terms(docs, work.save(named.select("tag").distinct(), "tags")).join(F.broadcast(counts.where("NOT rare").select("term")), "term", "left_anti")
     terms = work.save(terms.join(counts.where("rare").select("term", "n"), "term").distinct(), "terms")
     pairs = named.join(terms, "tag").where(F.col("n") <= bound(F.col("n_e"))).groupBy("entity", "term", "n_e", "n").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_CONTEXTS)
     p_e = F.col("n_e") / F.lit(float(total))
@@ -244,28 +247,39 @@ def disclosing(work: Workspace, docs: DataFrame, scanned: DataFrame, mentions: D
     return work.save(judged.select("entity", "term", kind.alias("kind")).where("kind IS NOT NULL"), "disclosing")
 
 
-def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, tag (hash of its text), spans (a, kind, b) by a and kind; base spans first of equals."""
-    work = Workspace(spark, "personal")
+def _found(work: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What _scan finds, and (tag, more): the further spans of texts that have some. None: no term discloses anything."""
     scanned = work.save(_scan(docs), "scanned")
     mentions = work.save(scanned.where(F.size("entities") > 0).select("tag", F.explode("entities").alias("entity")).distinct(), "mentions")
     found = disclosing(work, docs, scanned, mentions)
-    none = F.array().cast("array<struct<a: int, kind: int, b: int>>")
-    if found is None:
-        return scanned.select("doc_id", "tag", F.array_sort("spans").alias("spans"))
+    if found is None or found.isEmpty():
+        return scanned, None
     # A term of several entities of a document: the stronger kind.
     wanted = mentions.join(found, "entity").groupBy("tag", "term").agg(F.max("kind").alias("kind"))
     wanted = work.save(wanted.groupBy("tag").agg(F.collect_list(F.struct("term", "kind")).alias("terms")), "wanted")
     extra = work.save(_text_spans(docs, wanted), "extra")
+    spans = extra.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0]
     work.release()
+    return scanned, F.broadcast(extra) if 24 * spans <= BROADCAST_BYTES else extra
+
+
+def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, tag (hash of its text), spans (a, kind, b) by a and kind; base spans first of equals."""
+    with Workspace(spark, "personal") as work:
+        scanned, extra = _found(work, docs)
+    if extra is None:
+        return scanned.select("doc_id", "tag", F.array_sort("spans").alias("spans"))
+    none = F.array().cast("array<struct<a: int, kind: int, b: int>>")
     joined = scanned.join(extra, "tag", "left")
     return joined.select("doc_id", "tag", F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"))
 
 
-def _mask(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _mask(text: pa.Array, more: pa.Array) -> pa.Array:
+    """Texts without their base spans and the further ones given."""
     out = []
-    for t, own in zip(text.to_pylist(), spans.to_pylist()):
-        if not t or not own:
+    for t, extra in zip(text.to_pylist(), more.to_pylist()):
+        own = [{"a": a, "kind": k, "b": b} for a, k, b in base_spans(t)] + (extra or []) if t else []
+        if not own:
             out.append(t)
             continue
         parts, done = [], 0
@@ -286,11 +300,20 @@ def _mask(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, all columns, with base spans replaced by their kind, generalised terms by their class, and removed terms gone."""
-    ship(spark)
-    spans = find(spark, docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__t"])
-    df = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
-    return df.withColumn("text", F.arrow_udf(_mask, "string")(F.col("text"), F.col("__spans"))).select(*docs.columns)
+    """docs, all columns, with base spans replaced by their kind, generalised terms by their class, and removed terms gone.
+
+    Texts are masked where they are read: only texts with disclosing terms are joined with those.
+    """
+    with Workspace(spark, "personal") as work:
+        extra = _found(work, docs)[1]
+    own = docs.select(packed(docs), "text", F.xxhash64("text").alias("tag"))
+    more = F.col("more")
+    if extra is None:
+        more = F.lit(None).cast("array<struct<a: int, kind: int, b: int>>")
+    else:
+        own = own.join(extra, "tag", "left")
+    masked = own.withColumn("masked", F.arrow_udf(_mask, "string")(F.col("text"), more))
+    return masked.select(*(F.col("masked").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _joined(spans: Column) -> Column:

@@ -16,7 +16,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -133,6 +134,20 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+#: What a side may weigh at most to be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def measured(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its rows, counted now, are below BROADCAST_BYTES; else it joins by exchange. For written tables."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that none clashes with columns that an operator adds; `name.*` unpacks them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias(name)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application: call it when the results have been written."""
     for work in list(_open.get(spark.sparkContext.applicationId, [])):
