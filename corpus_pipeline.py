@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
-Rows with null or empty texts are rejected by the first stage (no language). Columns besides those of documents pass
-through unchanged; an empty table gives an empty result.
+Rows with null or empty texts are rejected by the first stage (no language). Rows with a null doc_id take part in every
+stage; rows that repeat a doc_id are documents of their own. Ties are settled by values of the rows, so that two runs
+give the same. Very long texts are worked on whole. Columns besides those of documents pass through unchanged, whatever
+their names (rows are packed into a struct before a stage adds columns); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,26 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import decontamination, language, near_duplicates, personal, pieces
-from tributary.llm.storage import Workspace
+from tributary.llm.storage import Workspace, packed
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that the classifier rejects go."""
-    found = language.with_language(spark, docs, docs, "__language")
-    return found.where(~F.col("__language.rejected")).select(*docs.columns)
+    found = language.with_language(spark, docs.select(packed(docs), "text"), docs)
+    return found.where("NOT language.rejected").select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group. Of rows that repeat a doc_id one stays; rows without one are kept."""
-    first = near_duplicates.link(spark, docs).where("class_id = doc_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The document with the least doc_id of each group."""
+    return near_duplicates.keep_one(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark rule does not call contaminated."""
-    found = decontamination.with_contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__found")
-    return found.where(~decontamination.is_contaminated(F.col("__found"))).select(*docs.columns)
+    found = decontamination.with_contamination(spark, docs.select(packed(docs), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~decontamination.is_contaminated(F.col("contamination"))).select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Workspace(spark, "pipeline") as work:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
