@@ -304,12 +304,57 @@ def test_url_rules(spark):
     many = spark.createDataFrame([(i, f"http://{'bad-pills' if i % 3 == 0 else 'good'}{'' if i % 2 else '.shop'}.net/p/{i}") for i in range(300)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(300)], "doc_id long, quality int")
     mined = url_rules.mine(many, labels)
-    assert mined and all(r.confidence >= url_rules.MIN_CONFIDENCE for r in mined)
+    assert mined and all(r.confidence >= url_rules.MIN_LIFT / 3 for r in mined)
     verdicts = {r.page_id: r.verdict for r in url_rules.judge(many, mined).collect()}
     assert all(v == ("block" if i % 3 == 0 else "allow") for i, v in verdicts.items())
     assert url_rules.mine(many, labels.where("false")) == [] and url_rules.judge(pages.where("false"), mined).count() == 0
 
 
+def brute_rules(rows, least, lift=url_rules.MIN_LIFT):
+    """The pruned token combinations of up to three of rows with quality and tokens t."""
+    seen = {}
+    for r in rows:
+        for size in (1, 2, 3):
+            for part in itertools.combinations(sorted(r.t), size):
+                x = seen.setdefault(part, [0, 0])
+                x[0] += 1
+                x[1] += r.quality == 0
+    base = sum(r.quality == 0 for r in rows) / len(rows)
+    sure = {p: b / n for p, (n, b) in seen.items() if b >= least}
+    inside = lambda p: [q for k in range(1, len(p)) for q in itertools.combinations(p, k)]
+    return {p for p, c in sure.items() if c >= lift * base and all(sure[q] < c for q in inside(p))}
+
+
+def test_url_rules_against_brute_force(spark, data):
+    """Rules and verdicts on all pages of a larger folder."""
+    folder = data.replace("sf0.001", "sf0.1")
+    if not os.path.isdir(folder):
+        pytest.skip("no larger tables here")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).join(labels.select(F.col("doc_id").alias("page_id"), "quality"), "page_id", "left").collect()
+    known = [r for r in rows if r.quality is not None]
+    want = brute_rules(known, max(url_rules.MIN_COUNT, -(-len(known) * 2 // 1000)))
+    assert want
+    mined = url_rules.mine(pages, labels)
+    assert {tuple(sorted(c)) for r in mined for c in itertools.product(*r.items)} == want
+    judged = {r.page_id: (r.n_mined, r.rule, r.verdict) for r in url_rules.judge(pages, mined).collect()}
+    for r in rows:
+        n, rule, verdict = judged[r.page_id]
+        assert n == sum(set(p) <= set(r.t) for p in want) and (rule or verdict == ("block" if n else "allow"))
+
+
+def test_url_rules_many(spark):
+    """2,112 rules that share tokens, on 20,000 URLs: the index reads each URL's own rules only."""
+    rules = [url_rules.MinedRule((("w:shared",), (f"p:{a}{b}",)), 0.9, 0.01) for a in "abcdefghijklmnop" for b in [f"{c}{d}" for c in "abcdefghijkl" for d in "abcdefghijk"]]
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://shared.net/"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 3), "0123456789", "ghijklmnop")).alias("url"))
+    began = time.monotonic()
+    names = {r.items[1][0][2:] for r in rules}
+    got = url_rules.judge(pages, rules).select("path", "n_mined").collect()
+    assert len(got) == 20_000 and all((r.n_mined > 0) == (r.path[1:] in names) for r in got)
+    assert time.monotonic() - began < 60
+
+
 def test_url_rules_are_not_cut(spark):
     """A URL template of 15 tokens that always go together does not crowd out the rules of a less sure one; rules of several tokens fit by the joined index."""
     kinds = [("http://www.pills.shop.net/buy/cheap/now.html?ref=x&id={}", 100, 1.0), ("http://casino.net/bonus/{}", 80, 0.75), ("http://mix.net/alpha/beta/{}", 50, 1.0), ("http://mix.net/alpha/{}", 50, 0.0), ("http://mix.net/beta/{}", 50, 0.0), ("http://good.net/page/{}", 300, 0.0)]
@@ -319,16 +364,8 @@ def test_url_rules_are_not_cut(spark):
             rows.append((len(rows), url.format(len(rows)), int(i >= bad * n)))
             of.append(k)
     pages = spark.createDataFrame(rows, "page_id long, url string, quality int")
-    mined = url_rules.mine(pages.select("page_id", "url"), pages.select(F.col("page_id").alias("doc_id"), "quality"))
-    brute = {}
-    for r in pages.select("quality", url_rules.tokens(F.col("url")).alias("t")).collect():
-        for size in (1, 2):
-            for part in itertools.combinations(sorted(r.t), size):
-                seen = brute.setdefault(part, [0, 0])
-                seen[0] += 1
-                seen[1] += r.quality == 0
-    sure = {p: b / n for p, (n, b) in brute.items() if b >= 5 and b / n >= url_rules.MIN_CONFIDENCE}
-    want = {p for p in sure if len(p) == 1 or all(sure.get((x,), 0) < sure[p] for x in p)}
+    mined = url_rules.mine(pages.select("page_id", "url"), pages.select(F.col("page_id").alias("doc_id"), "quality"), min_lift=1.8)
+    want = brute_rules(pages.select("quality", url_rules.tokens(F.col("url")).alias("t")).collect(), 5, 1.8)
     assert {tuple(sorted(c)) for r in mined for c in itertools.product(*r.items)} == want
     judged = url_rules.judge(pages, mined).select("page_id", "verdict", "n_mined").collect()
     assert len(judged) == len(rows) and all(r.verdict == ("block" if of[r.page_id] in (0, 1, 2) else "allow") for r in judged)

@@ -24,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.ORACLE,
     "op2_substring_dedup": substring.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
+    "op8_url_rules": url_rules.ORACLE,
 }

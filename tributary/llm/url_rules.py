@@ -6,33 +6,39 @@ Mining. A URL is the set of its tokens: host labels, registered-like host suffix
 digits, file extension, query keys and a fragment mark. Labelled pages (labels.doc_id = page_id; quality 0
 is bad) give one basket each, with the item `=bad` for bad ones. Tokens that are in the same baskets throughout
 are one item (a class): of such tokens a rule never needs two, and any of them serves. FP-growth finds itemsets
-over all labelled pages (or at most MAX_TRAINING, those with the least hash of their id); a rule
-`classes => =bad` stays if its confidence and support reach the bounds and no shorter rule within it is as
-confident. This pruning is done in Spark, size by size, and no number of rules is set.
+over all labelled pages (of more than MAX_TRAINING, those with a hash of their id below the share); a rule
+`classes => =bad` of at most MAX_ITEMS classes stays if its support reaches the bound, its confidence is MIN_LIFT times
+the share of bad pages or more, and no shorter rule within it is as confident. This pruning is done in Spark, size
+by size, and no number of rules is set.
 
 Matching. Rules are an inverted index, a table: token -> class, and class -> the rules whose rarest class it is.
 The tokens of each different URL are looked up, a rule found is verified, and it fits if the URL has a token of
 each of its classes; it counts once for each choice of such tokens. Where there are no rules nothing is joined.
 
-Edge cases: a null URL or one without `://` has an empty host and path, no tokens, and is allowed. An empty
-label table mines no rule. Rows that repeat a page_id are all answered. Other columns are ignored.
+Edge cases: a null URL or one without `://` has an empty host and path, no tokens, and is allowed. A very long URL
+is one set of tokens. Of rules that fit as long as each other there is one only, as a URL has one prefix of a length.
+Equally confident rules of which one holds the other: the shorter stays. An empty label table mines no rule, an
+empty page table gives no rows. Rows that repeat a page_id are all answered, and each is a basket; labels that repeat
+an id count once, bad if one of them is. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, measured
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Labelled pages that are mined at most.
+#: Labelled pages that are mined, about, where there are more.
 MAX_TRAINING = 200_000
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.002, 0.6, 5
+#: Bounds of a rule: its share of the baskets, its bad baskets, its confidence over the share of bad ones, its classes.
+MIN_SUPPORT, MIN_COUNT, MIN_LIFT, MAX_ITEMS = 0.002, 5, 1.5, 3
 BAD = "=bad"
 
 
@@ -88,27 +94,31 @@ class MinedRule:
 RULE_SCHEMA = "items array<array<string>>, confidence double, support double"
 
 
-def mine_table(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
+def mine_table(work: Workspace, pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, max_items: int = MAX_ITEMS) -> DataFrame | None:
     """The pruned rules from the labelled pages, all of them: items, confidence, support. None: there are none."""
-    work = Workspace(pages.sparkSession, "url_rules")
     bad = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    baskets = pages.select("page_id", "url").where("url IS NOT NULL").join(bad, "page_id").orderBy(F.xxhash64("page_id", "url")).limit(MAX_TRAINING)
-    baskets = work.save(baskets.select(F.monotonically_increasing_id().alias("b"), tokens(F.col("url")).alias("tokens"), "bad"), "baskets")
-    n = baskets.count()
-    if not n:
+    labelled = work.save(pages.select("page_id", "url").where("url IS NOT NULL").join(bad, "page_id"), "labelled")
+    n = labelled.count()
+    if n > MAX_TRAINING:
+        labelled = labelled.where(F.xxhash64("page_id", F.lit("mined")).bitwiseAND(F.lit((1 << 52) - 1)) < int(MAX_TRAINING / n * (1 << 52)))
+    baskets = work.save(labelled.select(F.monotonically_increasing_id().alias("b"), tokens(F.col("url")).alias("tokens"), "bad"), "baskets")
+    n, n_all_bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+    if not n_all_bad:
         return None
-    least = max(min_support, MIN_COUNT / n)
+    least = max(MIN_COUNT, math.ceil(min_support * n))
+    min_confidence = min(1.0, min_lift * (n_all_bad / n))
     # A rule's tokens are in as many bad baskets as the rule at least: others can be in none.
     each = baskets.select("b", "bad", F.explode("tokens").alias("token"))
     same = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("y"))
-    same = same.where(F.col("n_bad") >= int(least * n))
+    same = same.where(F.col("n_bad") >= least)
     classes = work.save(same.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("class"), "members"), "classes")
-    of = classes.select("class")
-    held = each.join(of, each["token"] == of["class"]).groupBy("b").agg(F.collect_list("token").alias("classes"))
-    items = F.concat(F.coalesce("classes", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    items = work.save(baskets.select("b", "bad").join(held, "b", "left").select(items.alias("items")), "items")
-    sets = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items).freqItemsets
-    sets = work.save(sets.select(F.array_sort("items").alias("items"), F.array_contains("items", BAD).alias("bad"), "freq"), "sets")
+    # At most the tokens of least bad baskets each: 1 / MIN_SUPPORT times those of a URL, sent to all if measured small.
+    held = each.join(measured(classes.select("class"), 256), each["token"] == F.col("class")).groupBy("b").agg(F.collect_list("token").alias("classes"), F.max("bad").alias("bad"))
+    items = F.concat("classes", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
+    items = work.save(held.select(items.alias("items")), "items")
+    # FPGrowth takes a share of its own rows; half a row less makes its rounding safe.
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, items.count())), minConfidence=min_confidence, numPartitions=int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items).freqItemsets
+    sets = work.save(sets.where(F.size("items") <= max_items + 1).select(F.array_sort("items").alias("items"), F.array_contains("items", BAD).alias("bad"), "freq"), "sets")
     with_bad = sets.where(F.col("bad") & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("n_bad"))
     rules = with_bad.join(sets.where("NOT bad"), "items").select("items", F.size("items").alias("k"), (F.col("n_bad") / F.col("freq")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support"))
     rules = work.save(rules, "rules")
@@ -129,19 +139,22 @@ def mine_table(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
         found = found.unionByName(more)
     found = found.select(F.xxhash64("items").alias("id"), F.posexplode("items").alias("i", "class"), "confidence", "support").join(classes, "class")
     found = found.groupBy("id", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("i", "members"))).alias("x"))
-    return work.save(found.select(F.col("x.members").alias("items"), "confidence", "support"), "found")
+    found = work.save(found.select(F.col("x.members").alias("items"), "confidence", "support"), "found")
+    work.drop("labelled", "baskets", "classes", "items", "sets", "rules", *(f"level{k}" for k in range(2, longest + 1)))
+    return None if found.isEmpty() else found
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[MinedRule]:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, max_items: int = MAX_ITEMS) -> list[MinedRule]:
     """The rules of mine_table, strongest first."""
-    found = mine_table(pages, labels, min_support, min_confidence)
-    rules = [] if found is None else [MinedRule(tuple(map(tuple, r["items"])), r.confidence, r.support) for r in found.collect()]
+    with Workspace(pages.sparkSession, "url_rules") as work:
+        found = mine_table(work, pages, labels, min_support, min_lift, max_items)
+        rules = [] if found is None else [MinedRule(tuple(map(tuple, r["items"])), r.confidence, r.support) for r in found.collect()]
+    work.close()
     return sorted(rules, key=lambda r: (-r.confidence, -r.support, r.items))
 
 
-def mined_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def mined_hits(work: Workspace, pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, n_mined): for each different URL that some rule fits, by how many choices of its tokens."""
-    work = Workspace(pages.sparkSession, "url_hits")
     urls = pages.select("url").where("url IS NOT NULL").distinct()
     # A class is named by its first token; the rules of one call have classes without common tokens.
     index = rules.select(F.explode("items").alias("members")).distinct().select(F.col("members")[0].alias("class"), F.explode("members").alias("token"))
@@ -162,18 +175,64 @@ def judge(pages: DataFrame, mined: DataFrame | list[MinedRule] | None) -> DataFr
     host, path = host_path(F.col("url"))
     df = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    df = df.withColumns({"rule": rule, "__fixed": verdict})
+    df = df.withColumns({"rule": rule, "fixed": verdict})
     if isinstance(mined, list):
         mined = pages.sparkSession.createDataFrame([([list(m) for m in r.items], r.confidence, r.support) for r in mined], RULE_SCHEMA) if mined else None
     hits = F.lit(0).cast("long")
     if mined is not None:
-        df, hits = df.join(mined_hits(pages, mined), "url", "left"), F.coalesce("n_mined", F.lit(0).cast("long"))
+        with Workspace(pages.sparkSession, "url_hits") as work:
+            hit = mined_hits(work, pages, mined)
+        df, hits = df.join(hit, "url", "left"), F.coalesce("n_mined", F.lit(0).cast("long"))
     df = df.withColumn("n_mined", hits)
     method = F.when(F.col("n_mined") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return df.withColumn("verdict", F.coalesce("__fixed", method)).select("page_id", "url", "host", "path", "rule", "verdict", "n_mined")
+    return df.withColumn("verdict", F.coalesce("fixed", method)).select("page_id", "url", "host", "path", "rule", "verdict", "n_mined")
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    mined = mine_table(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(pages, mined).select("page_id", "host", "path", "rule", "verdict", F.col("n_mined").alias("n_mined_rules"))
+    with Workspace(spark, "url_rules") as work:
+        mined = mine_table(work, pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        out = judge(pages, mined)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.col("n_mined").alias("n_mined_rules"))
+
+
+_TOKENS = r"""
+  list_distinct(
+    [concat('h:', x) FOR x IN labels IF x <> ''] ||
+    [concat('w:', lower(x)) FOR x IN flatten([regexp_split_to_array(y, '[^\p{L}]+') FOR y IN labels]) IF x <> ''] ||
+    CASE WHEN len(labels) >= 3 THEN ['d:' || array_to_string(labels[len(labels) - 2 :], '.')] ELSE [] END ||
+    [concat('p:', lower(x)) FOR x IN regexp_split_to_array(path, '[^\p{L}]+') IF x <> ''] ||
+    [concat('q:', x) FOR x IN regexp_extract_all(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1)] ||
+    CASE WHEN contains(url, '#') THEN ['f:'] ELSE [] END)"""
+_RULE = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{}}" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+#: The same in DuckDB, mining included: tokens, their combinations up to MAX_ITEMS, and the rules among them.
+ORACLE = f"""
+WITH parts AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+split AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+ruled AS (
+  SELECT *, {_RULE.format(*("'" + h + p + "'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))))} AS rule,
+    {_RULE.format(*("'" + v + "'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))))} AS fixed,
+    row_number() OVER (ORDER BY page_id, url) AS r, string_split(host, '.') AS labels FROM split),
+tok AS (SELECT r, unnest({_TOKENS}) AS t FROM ruled WHERE url IS NOT NULL),
+bad AS (SELECT doc_id AS page_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+base AS (SELECT r, bad FROM ruled JOIN bad USING (page_id) WHERE url IS NOT NULL),
+total AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad, greatest({MIN_COUNT}, ceil({MIN_SUPPORT}::DOUBLE * count(*))) AS least FROM base),
+ones AS (SELECT [t] AS s, r FROM tok WHERE t IN (SELECT t FROM tok JOIN base USING (r) WHERE bad GROUP BY 1 HAVING count(*) >= (SELECT least FROM total))),
+combos AS (
+  SELECT s, r FROM ones
+  UNION ALL SELECT a.s || b.s, a.r FROM ones a JOIN ones b ON a.r = b.r AND a.s < b.s
+  UNION ALL SELECT a.s || b.s || c.s, a.r FROM ones a JOIN ones b ON a.r = b.r AND a.s < b.s JOIN ones c ON a.r = c.r AND b.s < c.s),
+conf AS (
+  SELECT s, count(*) FILTER (WHERE bad) / count(*)::DOUBLE AS c FROM combos JOIN base USING (r) GROUP BY 1 HAVING count(*) FILTER (WHERE bad) >= (SELECT least FROM total)),
+within AS (
+  SELECT s, max(c) AS best FROM (
+    SELECT a.s, b.c FROM (SELECT s, unnest([[s[1]], [s[2]], [s[3]], [s[1], s[2]], [s[1], s[3]], [s[2], s[3]]]) AS part FROM conf WHERE len(s) > 1) a JOIN conf b ON a.part = b.s AND len(b.s) < len(a.s)) GROUP BY 1),
+rules AS (
+  SELECT conf.s FROM conf LEFT JOIN within USING (s), total WHERE c >= least(1.0::DOUBLE, {MIN_LIFT}::DOUBLE * (n_bad / n::DOUBLE)) AND (best IS NULL OR c > best)),
+hits AS (SELECT r, count(*) AS n_mined FROM combos JOIN rules USING (s) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN coalesce(n_mined, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(n_mined, 0)::BIGINT AS n_mined_rules
+FROM ruled LEFT JOIN hits USING (r)
+"""
