@@ -10,9 +10,9 @@ A text whose hashes are all above the threshold keeps its least one. Sketches st
 of two texts' union is the union's hashes below the threshold or, if there are none, the lesser of the two.
 
 Edge cases: a null text counts as empty. A text without words has an empty sketch; two empty sketches are
-alike (1.0), an empty and another are not (0.0). Rows that repeat a doc_id are ordered by their text;
-null doc_ids come last in descending order. One document is its own next. An empty table gives no rows.
-Other columns are ignored, whatever their names.
+alike (1.0), an empty and another are not (0.0). Rows that repeat a doc_id are ordered by a hash of their text;
+null doc_ids come last in descending order. One document is its own next. A very long text is one row of a task.
+An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +22,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import Workspace, measured
+
 SHINGLE = 5
 #: The first hexadecimal digit of a kept hash is below this: two of sixteen, an eighth of all hashes.
 KEPT_DIGITS = 2
 FRACTION = KEPT_DIGITS / 16
 #: Hexadecimal digits of a hash that the fingerprint shows (64 bits).
 DIGITS = 16
-#: The ordered neighbour search cuts the doc_id range into at most this many buckets, of about ROWS rows.
-MAX_BUCKETS, ROWS = 16384, 500
+#: The ordered neighbour search deals the rows into cells of about ROWS rows; keys of more than HOT_ROWS are split.
+ROWS, HOT_ROWS = 128, 1024
+#: Neighbouring cells are found among so many cells at a time.
+SPAN = 4096
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -73,52 +77,82 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def _bucket(key: Column, cuts: list[int], parts: int) -> Column:
-    """A bucket number that rises with the key: a binary search over the cuts, then equal parts between two cuts."""
+def _cell(key: Column, cuts: list[int], parts: int) -> Column:
+    """A cell number that rises with the key: a binary search over the cuts, then equal parts between two cuts."""
 
     def search(low: int, high: int) -> Column:
         if high - low == 1:
             a, b = cuts[low], cuts[high]
             place = ((key - F.lit(a)).cast("double") * F.lit(float(parts)) / F.lit(float(max(1, b - a)))).cast("long")
-            return F.lit(low * parts) + F.least(F.greatest(place, F.lit(0)), F.lit(parts - 1))
+            return F.lit(low * parts).cast("long") + F.least(F.greatest(place, F.lit(0).cast("long")), F.lit(parts - 1).cast("long"))
         mid = (low + high) // 2
         return F.when(key < F.lit(cuts[mid]), search(low, mid)).otherwise(search(mid, high))
 
     return search(0, len(cuts) - 1)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """derive(df) with next_<column> for each column: its value in the row that follows in descending order of (key, columns).
+PLACE = ["cell", "segment", "piece"]
+
 
-    derive adds columns row by row; it is applied to each row once, and to the few rows at bucket bounds again.
+def _placed(work: Workspace, df: DataFrame, key: str) -> DataFrame:
+    """df with its place (cell, segment, piece), which rises with (key, h).
 
-    Equal-frequency cuts of the key (one pass over the key alone) deal the rows into buckets of about
-    ROWS rows, each of which is ordered in one task; the row before a bucket's bound takes its next from
-    the following bucket's first row. After the last row comes the first.
+    Equal-frequency cuts of the key make the cells. A key with more than HOT_ROWS rows is a segment of its own in its
+    cell, and the range of h is cut into pieces there.
     """
     n = df.count()
-    if not n:
-        df = derive(df)
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     cuts = sorted({int(x) for x in df.approxQuantile(key, [i / 64 for i in range(65)], 0.002)})
     if len(cuts) < 2:
         cuts = [*(cuts or [0]), (cuts or [0])[0] + 1]
-    parts = max(1, min(MAX_BUCKETS, n // ROWS) // (len(cuts) - 1) + 1)
-    df = df.withColumn("__bucket", F.coalesce(_bucket(F.col(key), cuts, parts), F.lit(-1).cast("long")))
-    order = [F.col(key).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in columns)]
-    inside = Window.partitionBy("__bucket").orderBy(*order)
-    row = F.struct(*columns)
-    tops = df.groupBy("__bucket").agg(F.max(key).alias("__top"))
-    around = Window.orderBy(F.col("__bucket").desc())
-    ends = tops.select("__bucket", F.coalesce(F.lead("__bucket").over(around), F.max("__bucket").over(Window.partitionBy())).alias("__from"), "__top")
-    # At most 64 + MAX_BUCKETS rows of two numbers: bounded, so sent to all.
-    first = derive(df.join(F.broadcast(ends.select(F.col("__bucket").alias("__b"), "__top")), (F.col("__bucket") == F.col("__b")) & F.col(key).eqNullSafe(F.col("__top")), "left_semi"))
-    first = first.groupBy(F.col("__bucket").alias("__from")).agg(F.max(F.struct(*(F.col(c).isNotNull() for c in columns), *columns)).alias("__r"))
-    after = ends.join(first, "__from").select("__bucket", F.struct(*(F.col(f"__r.{c}").alias(c) for c in columns)).alias("__after"))
-    df = derive(df)
-    led = df.withColumn("__next", F.lead(row).over(inside))
-    out = led.join(after, "__bucket").withColumn("__next", F.coalesce("__next", "__after"))
-    return out.select(*(c for c in df.columns if c != "__bucket"), *(F.col(f"__next.{c}").alias(f"next_{c}") for c in columns))
+    parts = max(1, n // ROWS // (len(cuts) - 1))
+    df = df.withColumn("cell", F.coalesce(_cell(F.col(key), cuts, parts), F.lit(-1).cast("long")))
+    hot = df.groupBy("cell", key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = work.save(hot.groupBy("cell").agg(F.collect_list(F.struct(F.col(key).alias("key"), "n")).alias("hot")), "hot")
+    if hot.isEmpty():
+        return df.withColumns({"segment": F.lit(0), "piece": F.lit(0).cast("long")})
+    df = df.join(measured(hot, 1024), "cell", "left")
+    own = F.filter("hot", lambda x: x["key"].eqNullSafe(F.col(key)))
+    is_hot = F.coalesce(F.size(own) > 0, F.lit(False))
+    below = F.coalesce(F.size(F.filter("hot", lambda x: x["key"] < F.col(key))), F.lit(0))
+    pieces = F.ceil(F.try_element_at(own, F.lit(1))["n"] / HOT_ROWS)
+    high = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 32)  # h in order, from 0 to 2 ** 32
+    piece = F.when(is_hot, F.shiftrightunsigned(high * pieces, 32)).otherwise(F.lit(0).cast("long"))
+    return df.withColumns({"segment": F.when(F.size("hot") > 0, 2 * below + is_hot.cast("int")).otherwise(F.lit(0)), "piece": piece}).drop("hot")
+
+
+def _following(places: DataFrame) -> DataFrame:
+    """Each place of a table of places with the next lower one (cell, segment, piece as to_*); the last with the first.
+
+    Places are ordered within SPAN cells at a time; only the heads of such spans are ordered together.
+    """
+    places = places.withColumn("span", F.floor(F.col("cell") / SPAN))
+    place = F.struct(*PLACE)
+    heads = places.groupBy("span").agg(F.max(place).alias("head"))
+    heads = heads.select("span", F.coalesce(F.lead("head").over(Window.orderBy(F.desc("span"))), F.max("head").over(Window.partitionBy())).alias("head"))
+    inside = Window.partitionBy("span").orderBy(*(F.desc(c) for c in PLACE))
+    out = places.withColumn("to", F.lead(place).over(inside)).join(heads, "span").withColumn("to", F.coalesce("to", "head"))
+    return out.select(*PLACE, *(F.col(f"to.{c}").alias(f"to_{c}") for c in PLACE))
+
+
+def with_next(work: Workspace, df: DataFrame, key: str, columns: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """derive(df) with next_<column> for each column: its value in the row that follows in descending order of (key, h).
+
+    df has a column h, a hash that tells rows with one key apart. derive adds columns row by row; it is applied to each
+    row once, and to the first row of each place again. Each place of about ROWS rows is ordered in one task; the last
+    row of a place takes its next from the first row of the following place, and the very last from the very first.
+    """
+    placed = _placed(work, df, key)
+    top = F.struct(F.col(key).isNotNull().alias("some"), key, "h")
+    tops = work.save(placed.groupBy(*PLACE).agg(F.max(top).alias("top")), "tops")
+    wanted = tops.select(*PLACE, F.col(f"top.{key}").alias("top_key"), F.col("top.h").alias("top_h"))
+    same = F.col(key).eqNullSafe(F.col("top_key")) & (F.col("h") == F.col("top_h"))
+    first = placed.join(measured(wanted, 40), PLACE).where(same).groupBy(*PLACE).agg(F.max(F.struct(*df.columns)).alias("r"))
+    first = derive(first.select(*PLACE, "r.*")).select(*(F.col(c).alias(f"to_{c}") for c in PLACE), F.struct(*columns).alias("after"))
+    after = work.save(_following(tops.select(*PLACE)).join(first, [f"to_{c}" for c in PLACE]).select(*PLACE, "after"), "after")
+    order = [F.col(key).desc_nulls_last(), F.desc("h")]
+    led = derive(placed).withColumn("next", F.lead(F.struct(*columns)).over(Window.partitionBy(*PLACE).orderBy(*order)))
+    out = led.join(after, PLACE).withColumn("next", F.coalesce("next", "after"))
+    return out.select(*(c for c in led.columns if c not in (*PLACE, "next", "h")), *(F.col(f"next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -131,8 +165,10 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, text (null: empty), sketch, and those of the next and of the edited text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("h", F.xxhash64("text"))
     packed = lambda df: with_sketch(df, "text", "sketch").withColumn("sketch", pack(F.col("sketch")))  # noqa: E731  half of what is shuffled otherwise
-    both = with_next(own, "doc_id", ["text", "sketch"], packed)
+    with Workspace(docs.sparkSession, "fingerprints") as work:
+        both = with_next(work, own, "doc_id", ["text", "sketch"], packed)
     both = both.withColumns({c: unpack(F.col(c)) for c in ("sketch", "next_sketch")}).withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     return with_sketch(both, "edited_text", "edited_sketch")
 
