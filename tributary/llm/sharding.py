@@ -14,9 +14,10 @@ of a shard so that a task's sort stays the same at any size, by their tie key,
 which does not follow the text, so that one text with a third of all rows loads no lane more than others.
 A lane's first slot is the sum of the counts of the lanes before it; counts come from one aggregate.
 
-Edge cases: a null text has size 1 and the CRC of no bytes; null doc_ids and rows that repeat a doc_id and
-text are ordered by their place and all answered. With fewer rows than shards some shards stay empty. An
-empty table gives no rows. Columns of docs called like the results are replaced by them; others stay.
+Edge cases: a null text has size 1 and the CRC of no bytes and is in one group with empty texts; null doc_ids and
+rows that repeat a doc_id and text are in any order among themselves and all answered. A very long text is one row,
+whole, in one shard: shards can differ by as much. With fewer rows than shards some shards stay empty. An empty table
+gives no rows. Columns of docs called like the results are replaced by them; others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import Workspace
+
 #: Candidate intervals for each splitter and round, a power of two.
 PROBE_BITS = 10
 #: Share of a shard's target by which a splitter may miss it.
@@ -111,10 +114,16 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, id_col
     rows = docs.select(
         F.struct(*keep).alias("__row"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        F.xxhash64(text_col).alias("__key"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"),
         F.xxhash64(F.lit("tie"), F.col(id_col).cast("string")).alias("__tie"),
     )
-    keys = rows.select("size", "__key", "__tie")
+    with Workspace(docs.sparkSession, "sharding") as work:
+        return _placed(work, rows, shards, tolerance)
+
+
+def _placed(work: Workspace, rows: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    # Three numbers for each row: all rounds read these, and the texts are read again only when the rows move.
+    keys = work.save(rows.select("size", "__key", "__tie"), "keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     slack = int(tolerance * total / shards)
     targets = [total * i // shards for i in range(1, shards)]
@@ -136,11 +145,13 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, id_col
         place = place + above.cast("int")
     lanes = min(MAX_LANES, max(LANES, total // shards // LANE_BYTES))
     lane = F.pmod(F.col("__tie"), F.lit(lanes)).cast("int")
-    placed = rows.withColumn("shard", place.cast("int")).withColumn("__lane", lane)
-    counts = placed.groupBy("shard", "__lane").agg(F.count("*").alias("__n"))  # at most shards * MAX_LANES rows of three numbers: bounded, so sent to all
+    counts = keys.groupBy(place.cast("int").alias("shard"), lane.alias("__lane")).agg(F.count("*").alias("__n"))  # at most shards * MAX_LANES rows of three numbers: bounded, so sent to all
     before = Window.partitionBy("shard").orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "__lane", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    firsts = work.save(firsts, "firsts")
+    work.drop("keys")
     inside = Window.partitionBy("shard", "__lane").orderBy("__key", "__tie")
+    placed = rows.withColumn("shard", place.cast("int")).withColumn("__lane", lane)
     out = placed.withColumn("__i", F.row_number().over(inside)).join(F.broadcast(firsts), ["shard", "__lane"])
     return out.select("__row.*", "size", F.lit("bytes").alias("law"), "shard", (F.col("__first") + F.col("__i") - 1).cast("long").alias("slot"))
 
