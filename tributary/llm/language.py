@@ -12,12 +12,15 @@ the least score of a right text among the whole texts kept from the fit: a text
 (key mash, random letters) is rejected. With no such score all texts are. A language never taught that shares its
 letters with a taught one can score higher. A text without letters is always rejected (`und`, score 0).
 
-Bound: at most PER_LANG labelled documents of each of the MAX_LANGS most frequent languages are taught, those
-with the least hash of their id. Everything else covers all rows and whole texts.
-
-Edge cases: a null text, and one without a letter, gets `und`. Rows without a language aren't learned from; of
-rows that repeat a doc_id and language, the least text is.
-With no labelled row all texts are rejected; with one language all others get it. Other columns are ignored.
+Bound: at most PER_LANG labelled documents of each language are taught, and of all languages together at most
+MAX_TRAINING (equal parts; one of each where there are more languages), those with the least hash of their id.
+Everything else covers all rows and whole texts.
+
+Edge cases: a null text, one that is empty and one without a letter get `und`. A very long text is worked on whole, and
+is one row of at most BUCKETS numbers where it is taught. Rows without a language aren't learned from, nor are those
+without a doc_id, which are not held out; of rows that repeat a doc_id and language, the least text is. Of equally
+likely languages the first in alphabetical order is told. An empty table gives no rows. With no labelled row all texts
+are rejected; with one language all others get it. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from . import textcore as tc
 from .storage import ship
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
-PER_LANG, MAX_LANGS, SALTS = 1280, 200, 64
+PER_LANG, MAX_TRAINING, SALTS = 1280, 12_800, 64
 PRECISION = 0.98
 #: Bounds between the numbers of features that have a temperature of their own.
 LENGTHS = (24, 96, 384)
@@ -108,20 +111,22 @@ class LanguageModel:
 
 def held_out(doc_id: Column) -> Column:
     """The fifth of the documents that is never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """(lang, text, part): at most per_lang rows of each of the most frequent languages; part 0 of 5 calibrates, and -1 are its heads.
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MAX_TRAINING) -> DataFrame:
+    """(lang, text, part): at most per_lang rows of each language; part 0 of 5 calibrates, and -1 are its heads.
 
     The bound is split over SALTS classes of the hash, so that a frequent language is not ranked in one task.
     """
-    some = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("i") <= max(1, per_lang // SALTS))
-    chosen = ranked.join(F.broadcast(top), "lang").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part")).distinct()
-    # At most MAX_LANGS * per_lang short rows: bounded. One text for each, so that a doc_id with many rows stays within the bound.
+    some = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = some.select("lang").distinct().count()
+    per_lang = max(1, min(per_lang, most // max(1, langs)))
+    salts = min(SALTS, per_lang)
+    ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("i") <= per_lang // salts)
+    chosen = ranked.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part")).distinct()
+    # At most MAX_TRAINING short rows, or one of each language: bounded. One text for each, so that a doc_id with many rows stays within the bound.
     rows = some.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "part").agg(F.min("text").alias("text"))
     heads = F.array(*(F.array_join(F.slice(F.split("text", r"\s+"), 1, k), " ") for k in HEADS))
     whole = F.struct("text", "part")
