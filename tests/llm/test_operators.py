@@ -91,8 +91,8 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(BASE.split()[20:60])), (2, "A b-C"), (3, None), (4, "--"), (5, "never seen words at all"), (1, "one")], "item_id long, text string")
     for block in (1000, 7):
         rows = {r.doc_id: r.contamination for r in decontamination.with_contamination(spark, docs, items, block=block).collect()}
-        assert (rows[0].n_words, rows[0].n_hit, list(rows[0]["items"])) == (120, 40, [1])
-        assert rows[10].hits == [[0, 3]] and list(rows[10]["items"]) == [2] and list(rows[6]["items"]) == [1]
+        assert (rows[0].n_words, rows[0].n_hit, list(rows[0]["items"])) == (120, 40, ["1"])
+        assert rows[10].hits == [[0, 3]] and list(rows[10]["items"]) == ["2"] and list(rows[6]["items"]) == ["1"]
         assert rows[3].n_words == rows[4].n_words == 0 and rows[8].n_hit == 0
     assert decontamination.with_contamination(spark, docs, items.where("false")).where("contamination.n_hit > 0").count() == 0
     assert decontamination.with_contamination(spark, empty, items).count() == 0

@@ -11,17 +11,19 @@ place that has a prefix shingle gives a candidate; the length bound drops docume
 window, the positional bound those where the window, laid so that the shingle meets its place, would leave
 the document. What is left is verified word by word.
 
-The benchmark side is cut into blocks of at most BLOCK windows, which are sent to all tasks one after the
-other, so a block's size is bounded and any benchmark is matched in whole; documents are never shuffled.
+The benchmark side is cut into blocks of at most BLOCK windows, so that what a task holds of it is bounded and any
+benchmark is matched in whole; shingles of WAVE blocks are counted in one pass. Documents are never shuffled.
 
 Edge cases: null and empty texts have no words; items without words have no window; an empty benchmark hits
-nothing. Items that repeat an id count once, and their windows together. Rows that repeat a doc_id are all
-answered. Other columns are ignored, whatever their names.
+nothing, an empty document table gives no rows. Items that repeat an id count once, and their windows together. Items
+without an id are matched like others; they are in no list or number of items. Ids are of any type that casts to a
+string. Of equally rare shingles the least hash is the prefix. A very long text is one chunk of a worker's memory. Rows
+that repeat a doc_id are all answered. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,10 +37,12 @@ from . import textcore as tc
 from .storage import ship
 
 WINDOW, SHINGLE, BLOCK = 13, 5, 50_000
+#: Blocks whose shingles are counted in one pass over the documents.
+WAVE = 8
 RESULT = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType())))]
+    [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType())))]
 )
-ARROW_RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("hits", pa.list_(pa.list_(pa.int64())))])
+ARROW_RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.list_(pa.int64())))])
 
 
 @dataclass
@@ -46,7 +50,7 @@ class Block:
     """Distinct windows of some items and their shingles. prefix: sorted rarest shingles; rows[i]: the (window, offset) pairs of prefix[i]."""
 
     words: list[tuple[bytes, ...]]
-    owners: list[list[int]]
+    owners: list[list[str]]
     shingles: list[np.ndarray] = field(default_factory=list)
     prefix: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     rows: list[list[tuple[int, int]]] = field(default_factory=list)
@@ -67,7 +71,7 @@ def _words_of(texts: list[str]) -> Iterator[tuple[int, tc.Words]]:
             yield d, words
 
 
-def blocks(items: Iterator[tuple[int, str | None]], size: int = WINDOW, shingle: int = SHINGLE, most: int = BLOCK) -> Iterator[Block]:
+def blocks(items: Iterator[tuple[str | None, str | None]], size: int = WINDOW, shingle: int = SHINGLE, most: int = BLOCK) -> Iterator[Block]:
     """Blocks of at most `most` windows from (item_id, text) pairs."""
     known: dict[tuple[bytes, ...], int] = {}
     block = Block([], [])
@@ -94,7 +98,7 @@ def blocks(items: Iterator[tuple[int, str | None]], size: int = WINDOW, shingle:
                     at = known[w] = len(block.words)
                     block.words.append(w)
                     block.owners.append([])
-                if not block.owners[at] or block.owners[at][-1] != item:
+                if item is not None and (not block.owners[at] or block.owners[at][-1] != item):
                     block.owners[at].append(item)
     if block.words:
         yield full()
@@ -109,22 +113,24 @@ class _Filter:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(keys >> np.uint64(44)).astype(np.int64)] = True
+        width = min(26, max(20, len(keys).bit_length() + 3))
+        self.shift = np.uint64(64 - width)
+        self.bits = np.zeros(1 << width, bool)
+        self.bits[(keys >> self.shift).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in h, and the number of the key there."""
-        at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.flatnonzero(self.bits[(h >> self.shift).astype(np.int64)])
         k = np.searchsorted(self.keys, h[at])
         k[k == len(self.keys)] = 0
         good = self.keys[k] == h[at]
         return at[good], k[good]
 
 
-def count_shingles(docs: DataFrame, block: Block, shingle: int, text_col: str = "text") -> dict[int, int]:
-    """Exact number of occurrences in all documents of each shingle of the block. One sum for each task and shingle is exchanged."""
-    every = _Filter(np.unique(np.concatenate(block.shingles)))
-    widths = _widths(block, shingle)
+def count_shingles(docs: DataFrame, some: list[Block], shingle: int, text_col: str = "text") -> dict[int, int]:
+    """Exact number of occurrences in all documents of each shingle of some blocks. One sum for each task and shingle is exchanged."""
+    every = _Filter(np.unique(np.concatenate([s for b in some for s in b.shingles])))
+    widths = sorted({k for b in some for k in _widths(b, shingle)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(every.keys), np.int64)
@@ -194,15 +200,17 @@ def matcher(block: Block, shingle: int = SHINGLE):
 
 
 def with_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, name: str = "contamination", size: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `name`: n_words, n_hit, items (sorted ids with occurring windows), hits (word spans, end exclusive)."""
+    """docs with a struct column `name`: n_words, n_hit, items (ids with occurring windows, sorted as strings), hits (word spans, end exclusive)."""
     ship(spark)
     empty = F.lit(None).cast(RESULT)
     docs = docs.withColumn(name, empty)
-    pairs = ((r["item_id"], r["text"]) for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator())
+    pairs = ((r["item_id"], r["text"]) for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator())
     none = True
-    for b in blocks(pairs, size, shingle, block):
-        b.order(count_shingles(docs, b, shingle, text_col))
-        docs = docs.withColumn(name, matcher(b, shingle)(F.col(text_col), F.col(name)))
+    for some in itertools.batched(blocks(pairs, size, shingle, block), WAVE):
+        counts = count_shingles(docs, list(some), shingle, text_col)
+        for b in some:
+            b.order(counts)
+            docs = docs.withColumn(name, matcher(b, shingle)(F.col(text_col), F.col(name)))
         none = False
     if none:
         docs = docs.withColumn(name, matcher(Block([], []), shingle)(F.col(text_col), F.col(name)))
@@ -223,7 +231,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         c["n_words"].alias("n_words"),
         c["n_hit"].alias("n_hit"),
         F.size(c["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(c["items"].cast("array<string>")), ",").cast("binary"), 256).alias("items_sha256"),
+        F.sha2(F.array_join(c["items"], ",").cast("binary"), 256).alias("items_sha256"),
         is_contaminated(c).alias("contaminated"),
     )
 
