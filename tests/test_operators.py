@@ -83,3 +83,11 @@ def test_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, float("nan"))], "a double, b double")
     rows = {r.column_name: r for r in quality.constant_columns(df, ["a", "b"]).collect()}
     assert rows["a"].is_constant and rows["b"].non_finite == 1
+
+
+def test_results_compare_within_a_tolerance(spark):
+    a = spark.createDataFrame([("x", 1.0), ("x", 2.0), (None, 3.0)], "k string, v double")
+    b = spark.createDataFrame([(None, 3.004), ("x", 2.0001), ("x", 0.9999)], "k string, v double")
+    assert quality.same_rows(a, b) and not quality.same_rows(a, b, 0.001)
+    assert not quality.same_rows(a, b.limit(2)) and not quality.same_rows(a, b.toDF("k", "w"))
+    assert [(r.column_name, r.expected, r.actual) for r in quality.mismatches(a, b, 0.001).collect()] == [("v", "3.0", "3.004")]

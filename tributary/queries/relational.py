@@ -109,7 +109,7 @@ simple("filter_date_literal", "SELECT count(*) AS n FROM lineitem WHERE l_shipda
 # Scalar expressions
 simple("project_literal", "SELECT r_regionkey, 7 AS i, 0.05::DOUBLE AS f, 'it''s' AS s, CAST(DATE '1998-09-02' AS VARCHAR) AS d FROM region", "region", lambda d: d.select("r_regionkey", F.lit(7).alias("i"), F.lit(0.05).alias("f"), F.lit("it's").alias("s"), F.expr("DATE '1998-09-02'").cast("string").alias("d")))
 simple("project_int_div", "SELECT p_partkey, (p_partkey // 7)::BIGINT AS a, CAST(trunc(-p_size / 4) AS BIGINT) AS b FROM part", "part", lambda d: d.select("p_partkey", compat.int_div(c("p_partkey"), F.lit(7)).alias("a"), compat.int_div(-c("p_size"), F.lit(4)).alias("b")))
-simple("project_float_div", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'inf' ELSE round(l_quantity / l_discount, 4)::VARCHAR END AS q FROM lineitem WHERE l_discount = 0", "lineitem", lambda d: d.select("l_orderkey", "l_linenumber", "l_discount", compat.float_div(c("l_quantity"), c("l_discount")).alias("x")).where("l_discount = 0").select("l_orderkey", "l_linenumber", F.when(c("x") == float("inf"), "inf").otherwise("finite").alias("q")))
+simple("project_float_div", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN round(l_quantity / l_discount, 4) END AS quotient, l_discount = 0 AS is_infinite FROM lineitem", "lineitem", lambda d: d.select("l_orderkey", "l_linenumber", compat.float_div(c("l_quantity"), c("l_discount")).alias("x")).select("l_orderkey", "l_linenumber", F.when(c("x") != float("inf"), F.round("x", 4)).alias("quotient"), (c("x") == float("inf")).alias("is_infinite")))
 simple("project_negate", "SELECT c_custkey, -c_acctbal AS negated FROM customer", "customer", lambda d: d.select("c_custkey", (-c("c_acctbal")).alias("negated")))
 simple("case_searched", "SELECT p_partkey, CASE WHEN p_size > 30 THEN 'large' WHEN p_size > 10 THEN 'medium' ELSE 'small' END AS size_class FROM part", "part", lambda d: d.select("p_partkey", F.when(c("p_size") > 30, "large").when(c("p_size") > 10, "medium").otherwise("small").alias("size_class")))
 simple("case_no_else", "SELECT p_partkey, CASE WHEN p_size > 30 THEN p_size ELSE 0 END AS v FROM part", "part", lambda d: d.select("p_partkey", compat.case_zero((c("p_size") > 30, c("p_size"))).alias("v")))

@@ -34,7 +34,7 @@ query("trace_window_features", f"{_REUSE} SELECT t, page_id, array_to_string(w,
     lambda d: trace.window_features(d).select("t", "page_id", F.array_join("window", ",").alias("window_pages"), F.round("label", 6).alias("label"))
 )
 query("trace_window_frequency", f"WITH {_T} SELECT t, page_id, len(list_filter(w, lambda x: x = page_id)) / 64.0::DOUBLE AS frequency FROM (SELECT t, page_id, list(page_id) OVER (ORDER BY t ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS w FROM t) WHERE t >= 63")(
-    lambda d: trace.window_frequency(trace.window_features(d)).select("t", "page_id", "frequency")
+    lambda d: trace.window_frequency(trace.windows(d)).select("t", "page_id", "frequency")
 )
 query("trace_recency_features", f"WITH {_T} SELECT t, page_id, round(coalesce(ln(1 + t - lag(t, 1) OVER w), 0.0), 6) AS recency, round(ln(1 + row_number() OVER w), 6) AS frequency, round(coalesce(ln(1 + t - lag(t, 2) OVER w), 0.0), 6) AS recency_2 FROM t WINDOW w AS (PARTITION BY page_id ORDER BY t)")(
     lambda d: trace.recency_features(d).select("t", "page_id", *(F.round(x, 6).alias(x) for x in ("recency", "frequency", "recency_2")))
@@ -57,9 +57,22 @@ query(
     f"{_REUSE}, f AS (SELECT page_id, ln(reuse + 1) AS y, coalesce(ln(1 + t - lag(t) OVER (PARTITION BY page_id ORDER BY t)), 0.0) AS p FROM r), g AS (SELECT page_id, avg(p) AS p, avg(y) AS y FROM f GROUP BY 1) SELECT round(avg(pow(p - y, 2)), 6) AS page_mse, count(*) AS pages FROM g",
 )(lambda d: trace.page_mse(trace.reuse_distance(d).select("trace_id", "t", F.log1p("reuse").alias("label")).join(trace.recency_features(d), ["trace_id", "t"]), "recency", "label").select(F.round("page_mse", 6).alias("page_mse"), "pages"))
 query("trace_policy_simulation")(lambda d: trace.simulate(d, [16, 64]))
-query("trace_ranking_accuracy")(lambda d: trace.simulate(d, [8], ("lru", "score")).select("policy", "pool", "ranking_accuracy"))
+
+
+def _models(d: DataFrame) -> dict[str, trace.EvictionModel]:
+    samples = trace.eviction_samples(d, 16)
+    return {f"learned_{kind}": trace.train_eviction_model(samples, kind) for kind in trace.FEATURES}
+
+
+query("trace_learned_policies")(lambda d: trace.simulate(d, [16], ("lru", "belady"), _models(d)))
+query("trace_ranking_accuracy")(lambda d: trace.simulate(d, [8], ("lru", "score"), _models(d)).select("policy", "pool", "ranking_accuracy"))
+query(
+    "label_cap",
+    f"{_REUSE} SELECT t, page_id, round(least(ln(reuse + 1), {quality.LABEL_CAP}::DOUBLE), 6) AS label FROM r",
+)(lambda d: quality.cap_labels(trace.reuse_distance(d).withColumn("label", F.log1p("reuse")), "label").select("t", "page_id", F.round("label", 6).alias("label")))
 query("trace_eviction_samples")(lambda d: trace.eviction_samples(d, 8))
 QUERIES["trace_zipf_source"] = lambda spark, folder: trace.zipf_trace(spark, 20_000, 512)
+QUERIES["trace_multiscale_source"] = lambda spark, folder: trace.multiscale_traces(spark, {1: (5_000, 128), 10: (20_000, 1280)})
 
 
 @query("standardize_features", f"WITH {_T}, f AS (SELECT t, page_id, coalesce(ln(1 + t - lag(t) OVER (PARTITION BY page_id ORDER BY t)), 0.0) AS recency FROM t), s AS (SELECT avg(recency) AS m, stddev_samp(recency) AS d FROM f WHERE t % 5 <> 0) SELECT t, page_id, round((recency - m) / CASE WHEN coalesce(d, 0) = 0 THEN 1 ELSE d END, 6) AS z_recency FROM f CROSS JOIN s")
@@ -69,7 +82,7 @@ def _(d: DataFrame) -> DataFrame:
 
 def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.split_80_20(table(spark, folder, "customer"), "c_mktsegment", F.col("c_custkey"))
-    return out.groupBy("c_mktsegment", "is_train").agg(F.count("*").alias("n"))
+    return out.select("c_mktsegment", "c_custkey", "is_train")
 
 
 _COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -83,15 +96,43 @@ def quality_corr_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return quality.correlated_pairs(table(spark, folder, "lineitem"), _COLUMNS).withColumn("correlation", F.round("correlation", 6))
 
 
+def _latencies(spark: SparkSession, folder: str) -> DataFrame:
+    """Event values stand in for latencies: types for queries, users for configurations and scale factors."""
+    return table(spark, folder, "events").select((F.col("user_id") % 3).alias("sf"), F.col("event_type").alias("query"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("config"), F.col("value").alias("latency_ms"))
+
+
 def latency_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """Event values stand in for latencies: types for queries, days of the week for configurations."""
-    runs = table(spark, folder, "events").select(F.col("event_type").alias("query"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("config"), F.col("value").alias("latency_ms"))
-    return quality.latency_pivot(runs).select("query", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+    return quality.latency_pivot(_latencies(spark, folder), "sf").select("sf", "query", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+def result_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against a copy whose prices are off by up to 0.02."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
+    moved = o.withColumn("o_totalprice", F.col("o_totalprice") + (F.col("o_orderkey").cast("long") % 3) * 0.0099)
+    return quality.mismatches(o, moved, 0.01).groupBy("column_name").agg(F.count("*").alias("n"))
+
+
+_CHECKED = ["l_quantity", "l_discount", "l_tax"]
+
+
+def quality_training_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines stand in for samples: line numbers for strata, two key digits for an order."""
+    rows = table(spark, folder, "lineitem").select(*_CHECKED, "l_linenumber", (F.col("l_orderkey") % 3).alias("p0"), (F.col("l_partkey") % 3).alias("p1"))
+    return quality.training_report(rows, _CHECKED, "l_linenumber", ["p0", "p1"], (1, 5)).withColumn("value", F.round("value", 6))
 
 
-QUERIES |= {f.__name__: f for f in (stratified_split, quality_constant_cols, quality_corr_pairs, latency_pivot)}
+QUERIES |= {f.__name__: f for f in (stratified_split, quality_constant_cols, quality_corr_pairs, quality_training_report, result_mismatches, latency_pivot)}
 ORACLES |= {
     "quality_constant_cols": " UNION ALL ".join(f"SELECT '{x}' AS column_name, min({x}) AS minimum, max({x}) AS maximum, count(*) FILTER (WHERE {x} IS NULL OR isnan({x}) OR isinf({x})) AS non_finite, min({x}) = max({x}) AS is_constant FROM lineitem" for x in _COLUMNS),
     "quality_corr_pairs": " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation, abs(corr({a}, {b})) > 0.99 AS too_close FROM lineitem" for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]),
-    "latency_pivot": "SELECT event_type AS query, round(median(value) FILTER (WHERE user_id % 2 = 0), 6) AS a, round(median(value) FILTER (WHERE user_id % 2 <> 0), 6) AS b FROM events GROUP BY 1",
+    "latency_pivot": "SELECT user_id % 3 AS sf, event_type AS query, round(median(value) FILTER (WHERE user_id % 2 = 0), 6) AS a, round(median(value) FILTER (WHERE user_id % 2 <> 0), 6) AS b FROM events GROUP BY 1, 2",
+    "stratified_split": "SELECT c_mktsegment, c_custkey, percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey::VARCHAR), c_custkey) < 0.8 AS is_train FROM customer",
+    "result_mismatches": "SELECT 'o_totalprice' AS column_name, count(*) AS n FROM orders WHERE o_orderkey % 3 = 2 HAVING count(*) > 0",
+    "quality_training_report": "WITH s AS (SELECT *, l_orderkey % 3 AS p0, l_partkey % 3 AS p1 FROM lineitem) "
+    "SELECT 'stratum_outside' AS check, '' AS detail, count(*) FILTER (WHERE l_linenumber NOT BETWEEN 1 AND 5)::DOUBLE AS value, count(*) FILTER (WHERE l_linenumber NOT BETWEEN 1 AND 5) > 0 AS warning FROM s "
+    "UNION ALL SELECT 'order_invalid', '', count(*) FILTER (WHERE p0 > 1 OR p1 > 1 OR (l_linenumber > 1 AND p0 = p1))::DOUBLE, count(*) FILTER (WHERE p0 > 1 OR p1 > 1 OR (l_linenumber > 1 AND p0 = p1)) > 0 FROM s "
+    "UNION ALL SELECT 'orders_distinct', '', count(DISTINCT (p0, p1))::DOUBLE, count(DISTINCT (p0, p1)) <= 10 FROM s "
+    "UNION ALL SELECT 'stratum_rows', l_linenumber::VARCHAR, count(*)::DOUBLE, count(*) < 100 FROM s GROUP BY l_linenumber "
+    + "".join(f"UNION ALL SELECT 'feature_not_finite', '{x}', count(*) FILTER (WHERE {x} IS NULL OR isnan({x}) OR isinf({x}))::DOUBLE, count(*) FILTER (WHERE {x} IS NULL OR isnan({x}) OR isinf({x})) > 0 FROM s UNION ALL SELECT 'feature_constant', '{x}', (min({x}) = max({x}))::INT::DOUBLE, min({x}) = max({x}) FROM s " for x in _CHECKED)
+    + "".join(f"UNION ALL SELECT 'features_correlate', '{a}~{b}', round(corr({a}, {b}), 6), true FROM s HAVING abs(corr({a}, {b})) > 0.99 " for i, a in enumerate(_CHECKED) for b in _CHECKED[i + 1 :]),
 }
