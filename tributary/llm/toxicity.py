@@ -3,7 +3,7 @@
 The features of a text are its words (ASCII letters lower-cased) and their heads and tails of EDGES bytes, so that
 derived forms of a word count; presence only, so that the length of a text does not dilute them. Each category's
 model is a logistic regression over the MAX_FEATURES features whose presence differs most between the classes
-(counted by Spark over all taught documents, a fold left out by subtraction), and over the log-odds of the
+(counted by Spark over all taught documents; a fold that is left out has no say in its choice), and over the log-odds of the
 categories before it. For training
 these probabilities are out-of-fold: each fold's come from models that haven't seen it, so that a later model
 learns how far to trust an earlier one. The decision bounds are those of the best F1 out of fold.
@@ -11,10 +11,12 @@ learns how far to trust an earlier one. The decision bounds are those of the bes
 Bound: at most MAX_TRAINING labelled documents are taught, those with the least hash of their id. Scoring covers
 all rows and whole texts.
 
-Edge cases: a null or empty text has no word: it gets the models' base rates and is never called toxic. Repeated
-labels of a document count as one, with any category that one of them has; of rows that repeat a doc_id, the least
-text is taught. Null labels aren't learned from. With no
-labels, or one class only, a category's probability is its rate and nothing is called. Other columns are ignored.
+Edge cases: a null or empty text has no word: it gets the models' base rates and is never called toxic. A very long
+text is one chunk of a worker's memory. Repeated labels of a document count as one, with any category that one of them
+has; of rows that repeat a doc_id, the least text is taught, and all are answered, those without a doc_id too. Null
+labels aren't learned from. Of equally telling features the least hash is taken; a score at the bound is called. With
+no labels, or one class only, a category's probability is its rate and nothing is called. An empty table gives no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from .storage import Workspace, ship
 
 MAX_TRAINING, MAX_FEATURES, FOLDS, RIDGE, LEAST_Z = 20_000, 192, 5, 1.0, 4.0
 EDGES = (5, 6, 7)
-#: Features that are brought to the driver at most: those with the greatest z. Fewer documents than LEAST have too little to say.
-CANDIDATES, LEAST = 4_000, 5
+#: Taught documents that a feature must be in: fewer have too little to say.
+LEAST = 5
 #: The chain, in order, as conditions on a labels row.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
@@ -100,7 +102,7 @@ class Bags:
         a, b = (self.counts[:, use][:, :, m].sum((1, 2)) for m in (bits, ~bits))
         n1, n0 = (max(1, int(self.totals[use][:, m].sum())) for m in (bits, ~bits))
         p = (a + b + 1) / (n1 + n0 + 2)
-        z = np.abs((a + 0.5) / (n1 + 1) - (b + 0.5) / (n0 + 1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        z = np.where(a + b >= LEAST, np.abs((a + 0.5) / (n1 + 1) - (b + 0.5) / (n0 + 1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0.0)
         best = np.argsort(-z, kind="stable")[:most]
         return np.sort(best[z[best] >= LEAST_Z])
 
@@ -172,6 +174,13 @@ def _best_bound(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] = CHAIN, most: int = MAX_TRAINING) -> Chain:
+    with Workspace(docs.sparkSession, "toxicity") as work:
+        found = _fit(work, docs, labels, chain, most)
+    work.close()
+    return found
+
+
+def _fit(work: Workspace, docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...], most: int) -> Chain:
     marks = [F.max(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in chain]
     known = labels.where("doc_id IS NOT NULL").where(" AND ".join(f"({rule}) IS NOT NULL" for _, rule in chain)).groupBy("doc_id").agg(*marks)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most MAX_TRAINING rows: bounded, so sent to all
@@ -180,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] =
     bits = sum((F.col(n).cast("int") * (1 << i) for i, n in enumerate(names)), F.lit(0))
     taught = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", bits.alias("bits")).agg(F.min("text").alias("text"))
     # At most MAX_TRAINING texts, whatever the number of rows: read three times below, so written once.
-    taught = Workspace(docs.sparkSession, "toxicity").save(taught.select("doc_id", "text", "bits", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "taught")
+    taught = work.save(taught.select("doc_id", "text", "bits", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "taught")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,20 +202,28 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...] =
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tc.signed(h[first])), pa.array(own[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(h))).astype(np.int64))], ["h", "kind", "n"])
 
-    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(FOLDS * combos)]
+    kinds = range(FOLDS * combos)
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in kinds]
     totals = np.zeros((FOLDS, combos), np.int64)
     for r in taught.groupBy("fold", "bits").count().collect():
         totals[r["fold"], r["bits"]] = r["count"]
-    counted = taught.mapInArrow(count, "h long, kind int, n long").groupBy("h").agg(*sums).where(sum((F.col(f"k{k}") for k in range(FOLDS * combos)), F.lit(0)) >= LEAST)
-    scores = []
-    for i in range(len(names)):
-        on = [k for k in range(FOLDS * combos) if k % combos >> i & 1]
-        n1, n0 = max(1, int(totals.ravel()[on].sum())), max(1, int(totals.sum() - totals.ravel()[on].sum()))
-        a = sum((F.col(f"k{k}") for k in on), F.lit(0))
-        b = sum((F.col(f"k{k}") for k in range(FOLDS * combos) if k not in on), F.lit(0))
+
+    def z(category: int, without: int | None) -> Column:
+        """As Bags.choose has it: a fold left out has no say in what is chosen for it."""
+        use = [k for k in kinds if k // combos != without]
+        on, off = [k for k in use if k >> category & 1], [k for k in use if not k >> category & 1]
+        n1, n0 = (max(1, int(totals.ravel()[x].sum())) for x in (on, off))
+        a, b = (sum((F.col(f"k{k}") for k in x), F.lit(0)) for x in (on, off))
         p = (a + b + 1) / (n1 + n0 + 2)
-        scores.append(F.abs((a + 0.5) / (n1 + 1) - (b + 0.5) / (n0 + 1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
-    best = counted.withColumn("z", F.greatest(*scores, F.lit(0.0))).where(F.col("z") >= LEAST_Z * 0.75).orderBy(F.desc("z"), "h").limit(CANDIDATES).drop("z").collect()
+        return F.when(a + b >= LEAST, F.abs((a + 0.5) / (n1 + 1) - (b + 0.5) / (n0 + 1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+
+    counted = work.save(taught.mapInArrow(count, "h long, kind int, n long").groupBy("h").agg(*sums).where(sum((F.col(f"k{k}") for k in kinds), F.lit(0)) >= LEAST), "counted")
+    best = None
+    for i in range(len(names)):
+        for without in (*range(FOLDS), None):  # at most MAX_FEATURES rows each
+            top = counted.withColumn("z", z(i, without)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))).limit(MAX_FEATURES).drop("z")
+            best = top if best is None else best.unionByName(top)
+    best = best.distinct().collect()
     best.sort(key=lambda r: r["h"] % (1 << 64))
     vocabulary = np.array([r["h"] for r in best], np.int64).view(np.uint64)
     counts = np.array([list(r)[1:] for r in best], np.int64).reshape(len(best), FOLDS, combos)
