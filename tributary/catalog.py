@@ -33,10 +33,13 @@ class Catalog:
     stats: dict[str, TableStats] = field(default_factory=dict)
     indexes: dict[str, tuple[str, str]] = field(default_factory=dict)
 
-    def create_table(self, name: str, df: DataFrame) -> bool:
-        """Register a table and its view; False if the name is taken."""
+    def create_table(self, name: str, df: DataFrame, replace: bool = False) -> bool:
+        """Register a table and its view; False if the name is taken, unless the table is to replace the old one, whose statistics and indexes go."""
         if name in self.tables:
-            return False
+            if not replace:
+                return False
+            self.stats.pop(name, None)
+            self.indexes = {i: x for i, x in self.indexes.items() if x[0] != name}
         self.tables[name] = df
         df.createOrReplaceTempView(name)
         return True

@@ -16,17 +16,18 @@ class Engine:
         self.spark, self.catalog = spark, Catalog(spark)
 
     def load_folder(self, folder: str, *names: str) -> Engine:
+        """Parquet tables of a folder; one of a name that is loaded already replaces it."""
         for name in names:
-            self.catalog.create_table(name, table(self.spark, folder, name))
+            self.catalog.create_table(name, table(self.spark, folder, name), replace=True)
         return self
 
     def load_table(self, name: str, schema: T.StructType, path: str, delimiter: str = "|") -> None:
-        """Delimited text as a table, with fresh statistics."""
-        self.catalog.create_table(name, read_delimited(self.spark, path, schema, delimiter))
+        """Delimited text as a table, with fresh statistics; it replaces one of that name."""
+        self.catalog.create_table(name, read_delimited(self.spark, path, schema, delimiter), replace=True)
         self.catalog.update_stats(name)
 
     def execute_sql(self, text: str) -> DataFrame:
         text = text.strip().rstrip(";")
-        if not text[:6].lower() == "select":
+        if text[:6].lower() != "select" and text[:4].lower() != "with":
             raise ValueError("only SELECT statements are run")
         return self.spark.sql(text)

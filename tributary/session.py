@@ -11,8 +11,6 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.cbo.enabled": "true",
-    "spark.sql.cbo.joinReorder.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

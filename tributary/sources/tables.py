@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,3 +73,11 @@ def append(table_: DataFrame, rows: DataFrame) -> DataFrame:
 def delete(table_: DataFrame, condition) -> DataFrame:
     """The rows for which the condition is not true (null counts as not true)."""
     return table_.where(~F.coalesce(condition, F.lit(False)))
+
+
+def write_latencies(rows: list[tuple[str, int, float]], path: str) -> None:
+    """A local CSV of (query, rows, latency_ms), as a benchmark run has them on the driver."""
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["query", "rows", "latency_ms"])
+        out.writerows((q, n, f"{ms:.3f}") for q, n, ms in rows)
