@@ -152,7 +152,7 @@ def brute_links(texts):
 
 
 def test_near_duplicates(spark, docs, empty, data, monkeypatch):
-    for df in (docs, spark.read.parquet(f"{data}/documents.parquet")):
+    for df in (docs.dropDuplicates(["doc_id"]), spark.read.parquet(f"{data}/documents.parquet")):
         want = brute_links(texts_of(df))
         assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.link(spark, df).collect()} == want
     assert near_duplicates.link(spark, empty).count() == 0
