@@ -51,7 +51,7 @@ def page_positions(trace: DataFrame) -> DataFrame:
 
 
 #: Accesses of a block at least, and blocks of a trace at most (the counts between blocks are BLOCKS ** 2 / 2 numbers).
-BLOCK, BLOCKS = 1 << 14, 2048
+BLOCK, BLOCKS = 1 << 17, 2048
 
 
 def _greater_before(x: np.ndarray) -> np.ndarray:
@@ -76,23 +76,27 @@ def _greater_before(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def reuse_distance(trace: DataFrame, never: int = NEVER, block: int = BLOCK) -> DataFrame:
+def reuse_distance(trace: DataFrame, never: int = NEVER, block: int = BLOCK, accesses: int | None = None) -> DataFrame:
     """reuse: distinct other pages between an access and the next to its page; `never` if there is none.
 
     Of the accesses between t and its next, next(t), those whose page comes again before next(t) are not the last of
     their page there: the distance is next(t) - t - 1 less the v > t with next(v) < next(t). These are counted by
     blocks of t: v in the block of t in the task of that block; next(v) in the block of next(t) in the task of that
     one; all others from the numbers of accesses for each pair of blocks. Time and memory of a task grow with a block.
+    accesses: of the longest trace; counted if not given.
     """
     keys = ["trace_id", "t", "page_id"]
+    if accesses is None:
+        accesses = (trace.agg(F.max("t")).first()[0] or 0) + 1
+    block = max(block, -(-accesses // BLOCKS))
     linked = trace.select(*keys, F.lead("t").over(_page()).alias("next_t"))
-    longest = trace.agg(F.max("t")).first()[0]
-    block = max(block, -(-((longest or 0) + 1) // BLOCKS))
-    placed = linked.where("next_t IS NOT NULL").select(*keys, "next_t", F.floor(F.col("t") / block).cast("int").alias("i"), F.floor(F.col("next_t") / block).cast("int").alias("j"))
+    placed = linked.select(*keys, "next_t", F.floor(F.col("t") / block).cast("int").alias("i"), F.floor(F.col("next_t") / block).cast("int").alias("j"))
 
     def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", ascending=False)
-        return pdf.assign(n=_greater_before(-pdf["next_t"].to_numpy()))
+        n, known = np.zeros(len(pdf), np.int64), pdf["next_t"].notna().to_numpy()
+        n[known] = _greater_before(-pdf["next_t"].to_numpy()[known].astype(np.int64))
+        return pdf.assign(n=n)
 
     def next_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("next_t")
@@ -107,12 +111,16 @@ def reuse_distance(trace: DataFrame, never: int = NEVER, block: int = BLOCK) ->
         return pdf.assign(m=above[pdf["i"] + 1, pdf["j"] - 1] * (pdf["j"] > 0))
 
     schema = "trace_id int, t long, page_id long, next_t long, i int, j int, n long"
-    inside = placed.groupBy("trace_id", "i").applyInPandas(own_block, schema).groupBy("trace_id", "j").applyInPandas(next_block, schema)
+    counted = lambda rows: rows.groupBy("trace_id", "i").applyInPandas(own_block, schema)
+    distance = F.col("next_t") - F.col("t") - 1 - F.col("n")
+    if accesses <= block:  # no pair of blocks
+        return counted(placed).select(*keys, F.coalesce(distance, F.lit(never).cast("long")).alias("reuse"))
+    some = placed.where("next_t IS NOT NULL")
+    inside = counted(some).groupBy("trace_id", "j").applyInPandas(next_block, schema)
     # At most BLOCKS ** 2 / 2 rows of four numbers for a trace.
-    pairs = placed.groupBy("trace_id", "i", "j").agg(F.count("*").alias("m")).groupBy("trace_id").applyInPandas(between, "trace_id int, i int, j int, m long")
-    known = inside.join(pairs, ["trace_id", "i", "j"]).select(*keys, (F.col("next_t") - F.col("t") - 1 - F.col("n") - F.col("m")).alias("reuse"))
-    last = linked.where("next_t IS NULL").select(*keys, F.lit(never).cast("long").alias("reuse"))
-    return known.unionByName(last)
+    pairs = some.groupBy("trace_id", "i", "j").agg(F.count("*").alias("m")).groupBy("trace_id").applyInPandas(between, "trace_id int, i int, j int, m long")
+    known = inside.join(pairs, ["trace_id", "i", "j"]).select(*keys, (distance - F.col("m")).alias("reuse"))
+    return known.unionByName(placed.where("next_t IS NULL").select(*keys, F.lit(never).cast("long").alias("reuse")))
 
 
 def windows(trace: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -125,9 +133,9 @@ def windows(trace: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFra
     return rows.where((F.col("block") == own) & (F.col("t") >= size - 1)).select("trace_id", "t", "page_id", "window")
 
 
-def window_features(trace: DataFrame, size: int = WINDOW) -> DataFrame:
+def window_features(trace: DataFrame, size: int = WINDOW, accesses: int | None = None) -> DataFrame:
     """windows with label: log(1 + reuse)."""
-    return windows(trace, size).join(reuse_distance(trace).select("trace_id", "t", F.log1p("reuse").alias("label")), ["trace_id", "t"])
+    return windows(trace, size).join(reuse_distance(trace, accesses=accesses).select("trace_id", "t", F.log1p("reuse").alias("label")), ["trace_id", "t"])
 
 
 def window_frequency(windows: DataFrame) -> DataFrame:
@@ -149,10 +157,10 @@ def label_smoothing(rows: DataFrame, label: str, train: Column) -> DataFrame:
     return out.withColumn("smoothed", PAGE_SHARE * F.coalesce("__m", "__all") + (1 - PAGE_SHARE) * F.col(label)).drop("__m", "__all")
 
 
-def lru_hits(trace: DataFrame, pools: list[int]) -> DataFrame:
+def lru_hits(trace: DataFrame, pools: list[int], accesses: int | None = None) -> DataFrame:
     """(trace_id, pool, hits, hit_rate) for each pool size at once: an access hits if fewer than `pool` others lie between."""
     hits = [F.sum((F.col("reuse") < k).cast("long")).alias(f"k{k}") for k in pools]
-    wide = reuse_distance(trace, 1 << 60).groupBy("trace_id").agg(F.count("*").alias("n"), *hits)
+    wide = reuse_distance(trace, 1 << 60, accesses=accesses).groupBy("trace_id").agg(F.count("*").alias("n"), *hits)
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("pool"), F.col(f"k{k}").alias("hits")) for k in pools))).alias("x")
     return wide.select("trace_id", "n", rows).select("trace_id", "x.pool", "x.hits", (F.col("x.hits") / F.col("n")).alias("hit_rate"))
 

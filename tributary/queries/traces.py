@@ -17,11 +17,16 @@ _T = "t AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS t, user_id A
 _REUSE = f"WITH {_T}, r AS (SELECT a.t, a.page_id, CASE WHEN a.nxt IS NULL THEN 1000000 ELSE (SELECT count(*) FROM n u WHERE u.t > a.t AND u.t < a.nxt AND u.prv <= a.t) END AS reuse FROM n a)"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[DataFrame], DataFrame]], None]:
-    """Register f(trace of events)."""
+def query(name: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], None]:
+    """Register f(trace of events), or f(that trace, its accesses)."""
 
-    def add(f: Callable[[DataFrame], DataFrame]) -> None:
-        QUERIES[name] = lambda spark, folder: f(trace.from_events(table(spark, folder, "events")))
+    def add(f: Callable[..., DataFrame]) -> None:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            events = table(spark, folder, "events")
+            # The number of events is in the file's footer: no trace is made for it.
+            return f(trace.from_events(events), *([events.count()] if f.__code__.co_argcount == 2 else []))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
 
@@ -29,9 +34,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[DataFrame],
 
 
 query("trace_next_occurrence", f"WITH {_T} SELECT t, page_id, coalesce(nxt, -1) AS next_t FROM n")(lambda d: trace.next_occurrence(d).select("t", "page_id", "next_t"))
-query("trace_reuse_distance", f"{_REUSE} SELECT t, page_id, reuse FROM r")(lambda d: trace.reuse_distance(d).select("t", "page_id", "reuse"))
+query("trace_reuse_distance", f"{_REUSE} SELECT t, page_id, reuse FROM r")(lambda d, n: trace.reuse_distance(d, accesses=n).select("t", "page_id", "reuse"))
 query("trace_window_features", f"{_REUSE} SELECT t, page_id, array_to_string(w, ',') AS window_pages, round(ln(reuse + 1), 6) AS label FROM (SELECT t, page_id, reuse, list(page_id) OVER (ORDER BY t ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS w FROM r) WHERE t >= 63")(
-    lambda d: trace.window_features(d).select("t", "page_id", F.array_join("window", ",").alias("window_pages"), F.round("label", 6).alias("label"))
+    lambda d, n: trace.window_features(d, accesses=n).select("t", "page_id", F.array_join("window", ",").alias("window_pages"), F.round("label", 6).alias("label"))
 )
 query("trace_window_frequency", f"WITH {_T} SELECT t, page_id, len(list_filter(w, lambda x: x = page_id)) / 64.0::DOUBLE AS frequency FROM (SELECT t, page_id, list(page_id) OVER (ORDER BY t ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS w FROM t) WHERE t >= 63")(
     lambda d: trace.window_frequency(trace.windows(d)).select("t", "page_id", "frequency")
@@ -42,9 +47,9 @@ query("trace_recency_features", f"WITH {_T} SELECT t, page_id, round(coalesce(ln
 query(
     "trace_label_smoothing",
     f"{_REUSE}, l AS (SELECT t, page_id, ln(reuse + 1) AS label FROM r), m AS (SELECT page_id, avg(label) AS m FROM l WHERE t % 5 <> 0 GROUP BY 1), g AS (SELECT avg(label) AS g FROM l WHERE t % 5 <> 0) SELECT t, l.page_id, round(0.7::DOUBLE * coalesce(m, g) + 0.3::DOUBLE * label, 6) AS smoothed FROM l LEFT JOIN m USING (page_id) CROSS JOIN g",
-)(lambda d: trace.label_smoothing(trace.reuse_distance(d).withColumn("label", F.log1p("reuse")), "label", F.col("t") % 5 != 0).select("t", "page_id", F.round("smoothed", 6).alias("smoothed")))
+)(lambda d, n: trace.label_smoothing(trace.reuse_distance(d, accesses=n).withColumn("label", F.log1p("reuse")), "label", F.col("t") % 5 != 0).select("t", "page_id", F.round("smoothed", 6).alias("smoothed")))
 query("trace_lru_hits", f"{_REUSE} " + " UNION ALL ".join(f"SELECT {k} AS pool, count(*) FILTER (WHERE reuse < {k}) AS hits, round(count(*) FILTER (WHERE reuse < {k}) / count(*)::DOUBLE, 9) AS hit_rate FROM r" for k in POOLS))(
-    lambda d: trace.lru_hits(d, POOLS).select("pool", "hits", F.round("hit_rate", 9).alias("hit_rate"))
+    lambda d, n: trace.lru_hits(d, POOLS, n).select("pool", "hits", F.round("hit_rate", 9).alias("hit_rate"))
 )
 query("trace_top_pages", "SELECT user_id AS page_id, count(*) AS accesses FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda d: trace.top_pages(d))
 query("trace_page_positions", f"WITH {_T} SELECT page_id, string_agg(t::VARCHAR, ',' ORDER BY t) AS positions FROM t GROUP BY 1")(lambda d: trace.page_positions(d).select("page_id", F.array_join("positions", ",").alias("positions")))
@@ -55,7 +60,7 @@ query("trace_concat", f"WITH {_T} SELECT t, page_id FROM t UNION ALL SELECT t +
 query(
     "trace_page_mse",
     f"{_REUSE}, f AS (SELECT page_id, ln(reuse + 1) AS y, coalesce(ln(1 + t - lag(t) OVER (PARTITION BY page_id ORDER BY t)), 0.0) AS p FROM r), g AS (SELECT page_id, avg(p) AS p, avg(y) AS y FROM f GROUP BY 1) SELECT round(avg(pow(p - y, 2)), 6) AS page_mse, count(*) AS pages FROM g",
-)(lambda d: trace.page_mse(trace.reuse_distance(d).select("trace_id", "t", F.log1p("reuse").alias("label")).join(trace.recency_features(d), ["trace_id", "t"]), "recency", "label").select(F.round("page_mse", 6).alias("page_mse"), "pages"))
+)(lambda d, n: trace.page_mse(trace.reuse_distance(d, accesses=n).select("trace_id", "t", F.log1p("reuse").alias("label")).join(trace.recency_features(d), ["trace_id", "t"]), "recency", "label").select(F.round("page_mse", 6).alias("page_mse"), "pages"))
 query("trace_policy_simulation")(lambda d: trace.simulate(d, [16, 64]))
 
 
@@ -69,7 +74,7 @@ query("trace_ranking_accuracy")(lambda d: trace.simulate(d, [8], ("lru", "score"
 query(
     "label_cap",
     f"{_REUSE} SELECT t, page_id, round(least(ln(reuse + 1), {quality.LABEL_CAP}::DOUBLE), 6) AS label FROM r",
-)(lambda d: quality.cap_labels(trace.reuse_distance(d).withColumn("label", F.log1p("reuse")), "label").select("t", "page_id", F.round("label", 6).alias("label")))
+)(lambda d, n: quality.cap_labels(trace.reuse_distance(d, accesses=n).withColumn("label", F.log1p("reuse")), "label").select("t", "page_id", F.round("label", 6).alias("label")))
 query("trace_eviction_samples")(lambda d: trace.eviction_samples(d, 8))
 QUERIES["trace_zipf_source"] = lambda spark, folder: trace.zipf_trace(spark, 20_000, 512)
 QUERIES["trace_multiscale_source"] = lambda spark, folder: trace.multiscale_traces(spark, {1: (5_000, 128), 10: (20_000, 1280)})
