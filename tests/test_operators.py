@@ -91,3 +91,27 @@ def test_results_compare_within_a_tolerance(spark):
     assert quality.same_rows(a, b) and not quality.same_rows(a, b, 0.001)
     assert not quality.same_rows(a, b.limit(2)) and not quality.same_rows(a, b.toDF("k", "w"))
     assert [(r.column_name, r.expected, r.actual) for r in quality.mismatches(a, b, 0.001).collect()] == [("v", "3.0", "3.004")]
+
+
+def test_a_second_folder_replaces_the_first(spark, tmp_path):
+    for i in (1, 2):
+        spark.range(i).select("id", (F.col("id") * i).alias("v")).write.parquet(f"{tmp_path}/{i}/replaced.parquet")
+    e = Engine(spark).load_folder(f"{tmp_path}/1", "replaced")
+    e.catalog.update_stats("replaced")
+    e.catalog.create_index("on_id", "replaced", "id")
+    e.load_folder(f"{tmp_path}/2", "replaced")
+    assert e.execute_sql("WITH r AS (SELECT * FROM replaced) SELECT count(*) AS n FROM r").first().n == 2
+    assert "replaced" not in e.catalog.stats and not e.catalog.table_indexes("replaced")
+
+
+def test_latency_csv(tmp_path):
+    src.write_latencies([("q1", 4, 12.34567), ("a,b", 0, 1.0)], f"{tmp_path}/x.csv")
+    assert open(f"{tmp_path}/x.csv").read().splitlines() == ["query,rows,latency_ms", "q1,4,12.346", '"a,b",0,1.000']
+
+
+def test_label_cap_and_split(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("s"), (F.col("id") / 50).alias("label"))
+    assert quality.cap_labels(df, "label").agg(F.max("label")).first()[0] == quality.LABEL_CAP
+    assert quality.cap_labels(df, "label", None).agg(F.max("label")).first()[0] > 19
+    shares = {r.s: r.n / r.m for r in quality.split_80_20(df, "s", F.col("id")).groupBy("s").agg(F.count_if("is_train").alias("n"), F.count("*").alias("m")).collect()}
+    assert all(0.79 < x < 0.81 for x in shares.values())
