@@ -123,9 +123,10 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MAX_TRA
     langs = some.select("lang").distinct().count()
     per_lang = max(1, min(per_lang, most // max(1, langs)))
     salts = min(SALTS, per_lang)
-    ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    # Rows that repeat a doc_id count once.
+    ranked = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(salts)))
     ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("i") <= per_lang // salts)
-    chosen = ranked.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part")).distinct()
+    chosen = ranked.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part"))
     # At most MAX_TRAINING short rows, or one of each language: bounded. One text for each, so that a doc_id with many rows stays within the bound.
     rows = some.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "part").agg(F.min("text").alias("text"))
     heads = F.array(*(F.array_join(F.slice(F.split("text", r"\s+"), 1, k), " ") for k in HEADS))
