@@ -38,7 +38,7 @@ from . import textcore as tc
 from .storage import BROADCAST_BYTES, Workspace, measured, packed
 
 KINDS = ("email", "ip", "card", "phone", "quasi", "link")
-NEAR, MIN_CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.8, 0.95
+MIN_CONTEXTS, GENERALISE, REMOVE = 3, 0.8, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -110,15 +110,6 @@ def _free_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarra
     return start[free], end[free]
 
 
-def _terms_near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """For each span the bounds of the NEAR free terms before and after it. find() takes the terms of the whole text instead."""
-    start, end = _free_terms(text, spans)
-    for a, _, b in spans:
-        i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b))
-        near = [*range(max(0, i - NEAR), i), *range(j, min(len(start), j + NEAR))]
-        yield list(zip(start[near].tolist(), end[near].tolist()))
-
-
 def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else ''.join(c for c in value if c.isdigit() or c == '.')}"
 
