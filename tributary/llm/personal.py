@@ -103,6 +103,8 @@ def _free_terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarra
     for m in _TERM.finditer(text):
         flat.extend(m.span())
     start, end = np.array(flat, np.int64).reshape(-1, 2).T
+    if not spans:
+        return start, end
     low, high = np.array([a for a, _, _ in spans]), np.maximum.accumulate([b for _, _, b in spans])
     # Spans are in order of their starts: of those that start before a term's end, one at least must end after its start.
     at = np.searchsorted(low, end)
