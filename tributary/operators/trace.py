@@ -89,14 +89,22 @@ def reuse_distance(trace: DataFrame, never: int = NEVER, block: int = BLOCK, acc
     if accesses is None:
         accesses = (trace.agg(F.max("t")).first()[0] or 0) + 1
     block = max(block, -(-accesses // BLOCKS))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        nxt, at = next_uses(pdf["page_id"].to_numpy()), np.arange(len(pdf))
+        known, reuse = nxt < len(pdf), np.full(len(pdf), never)
+        reuse[known] = (nxt - at - 1)[known] - _greater_before(-nxt[known][::-1])[::-1]
+        return pdf.assign(reuse=reuse)
+
+    if accesses <= block:  # a trace is one block
+        return trace.select(*keys).groupBy("trace_id").applyInPandas(whole, "trace_id int, t long, page_id long, reuse long")
     linked = trace.select(*keys, F.lead("t").over(_page()).alias("next_t"))
     placed = linked.select(*keys, "next_t", F.floor(F.col("t") / block).cast("int").alias("i"), F.floor(F.col("next_t") / block).cast("int").alias("j"))
 
     def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", ascending=False)
-        n, known = np.zeros(len(pdf), np.int64), pdf["next_t"].notna().to_numpy()
-        n[known] = _greater_before(-pdf["next_t"].to_numpy()[known].astype(np.int64))
-        return pdf.assign(n=n)
+        return pdf.assign(n=_greater_before(-pdf["next_t"].to_numpy()))
 
     def next_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("next_t")
@@ -111,15 +119,11 @@ def reuse_distance(trace: DataFrame, never: int = NEVER, block: int = BLOCK, acc
         return pdf.assign(m=above[pdf["i"] + 1, pdf["j"] - 1] * (pdf["j"] > 0))
 
     schema = "trace_id int, t long, page_id long, next_t long, i int, j int, n long"
-    counted = lambda rows: rows.groupBy("trace_id", "i").applyInPandas(own_block, schema)
-    distance = F.col("next_t") - F.col("t") - 1 - F.col("n")
-    if accesses <= block:  # no pair of blocks
-        return counted(placed).select(*keys, F.coalesce(distance, F.lit(never).cast("long")).alias("reuse"))
     some = placed.where("next_t IS NOT NULL")
-    inside = counted(some).groupBy("trace_id", "j").applyInPandas(next_block, schema)
+    inside = some.groupBy("trace_id", "i").applyInPandas(own_block, schema).groupBy("trace_id", "j").applyInPandas(next_block, schema)
     # At most BLOCKS ** 2 / 2 rows of four numbers for a trace.
     pairs = some.groupBy("trace_id", "i", "j").agg(F.count("*").alias("m")).groupBy("trace_id").applyInPandas(between, "trace_id int, i int, j int, m long")
-    known = inside.join(pairs, ["trace_id", "i", "j"]).select(*keys, (distance - F.col("m")).alias("reuse"))
+    known = inside.join(pairs, ["trace_id", "i", "j"]).select(*keys, (F.col("next_t") - F.col("t") - 1 - F.col("n") - F.col("m")).alias("reuse"))
     return known.unionByName(placed.where("next_t IS NULL").select(*keys, F.lit(never).cast("long").alias("reuse")))
 
 
