@@ -269,3 +269,21 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "copy_of", "class_id", "n_links")
+
+
+#: The same in DuckDB: all pairs that share a shingle, and what is reached over links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS s FROM sh GROUP BY 1),
+copies AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS copy_of FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN copies a ON a.doc_id = x JOIN copies b ON b.doc_id = y WHERE c >= 0.8::DOUBLE * (a.n + b.n - c) - 1e-9::DOUBLE),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+class AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1),
+links AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY 1)
+SELECT doc_id, coalesce(copy_of, doc_id) AS copy_of, class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d JOIN class USING (doc_id) LEFT JOIN copies USING (doc_id) LEFT JOIN links USING (doc_id)
+"""

@@ -24,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.ORACLE,
     "op2_substring_dedup": substring.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
+    "op5_ngram_join": near_duplicates.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
 }
